@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED_DIR = "file:///tmp/checkpoints/tessella"
 
 
+def fenced(value: Column) -> Column:
+    """``value``, computed where it is written.
+
+    Spark pushes a later filter below a projection by copying the projection's
+    expressions into it, which repeats costly array work inside lambdas. It
+    leaves non-deterministic projections alone; the condition is always true.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import fenced
+
 #: Non-characters (never valid in interchanged text) that stand for separators while matching.
 SPACE, DASH, DOT = "﷐", "﷑", "﷒"
 MARKS = SPACE + DASH + DOT
@@ -124,7 +126,7 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans"
         parts.append(f"""transform(filter(transform(__pii_m_{k}, (x, i) -> named_struct(
             'start', element_at(__pii_p_{k}, i + 1), 'ord', {i}, 'kind', '{k}', 'end', element_at(__pii_p_{k}, i + 1) + length(x),
             'score', if({_VALID[k]}, cast({score} as double), -1D), 'base', {str(k in BASE_KINDS).lower()})), s -> s.score >= 0{least}), s -> s)""")
-    return df.withColumn(out_col, F.expr(f"array_sort(concat({', '.join(parts)}))")).select(*[F.col(f"`{c}`") for c in cols if c != out_col], out_col)
+    return df.withColumn(out_col, fenced(F.expr(f"array_sort(concat({', '.join(parts)}))"))).select(*[F.col(f"`{c}`") for c in cols if c != out_col], out_col)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,7 +146,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.withColumn("__pii_g", F.when(F.size("__pii_m") > 0, F.split("__pii_k", PATTERNS[k], -1)))
         joined = F.expr(f"""array_join(transform(__pii_g, (g, i) -> concat(g, array_join(transform(filter(array(try_element_at(__pii_m, i + 1)), x -> x is not null),
             x -> if({_VALID[k]} and {keep}, '<{k.upper()}>', x)), ''))), '')""")
-        df = df.withColumn("__pii_t", F.when(F.size("__pii_m") > 0, F.translate(joined, MARKS, " -.")).otherwise(t)).drop("__pii_k", "__pii_m", "__pii_g")
+        df = df.withColumn("__pii_t", fenced(F.when(F.size("__pii_m") > 0, F.translate(joined, MARKS, " -.")).otherwise(t))).drop("__pii_k", "__pii_m", "__pii_g")
     return df.withColumn(text_col, F.col("__pii_t")).select(*[F.col(f"`{c}`") for c in cols])
 
 

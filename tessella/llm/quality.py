@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import fenced
+
 #: White space that ends a word, and a word.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,7 +98,7 @@ def base_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_letters": F.length(F.regexp_replace("__q_text", r"[^\p{L}]", "")),
         "n_upper": F.length(F.regexp_replace("__q_text", r"[^\p{Lu}]", "")),
     }
-    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("__q_text", "__q_words", "__q_lines", "__q_grams", "__q_at")
+    return df.withColumns({k: fenced(v.cast("long")) for k, v in counts.items()}).drop("__q_text", "__q_words", "__q_lines", "__q_grams", "__q_at")
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> dict[str, F.Column]:
