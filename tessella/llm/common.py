@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def staged(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,3 +91,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are staged and no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Classes of near-duplicates from banded signatures.
+
+    ``bands``: (bucket, id), both long; rows with the same bucket are
+    candidates. ``verify`` takes distinct pairs (a, b) and returns those that
+    are similar enough. Returns (node, root) as :func:`components` does.
+
+    Buckets are never gathered: each member is compared with its bucket's
+    smallest id (a partially aggregated minimum and a join that adaptive
+    execution can split). Where that leaves a bucket in several components,
+    its members of different components, and only those, are then compared
+    with each other, so no link between components is lost.
+    """
+    spark = bands.sparkSession
+    ends = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    members = staged(bands.join(ends, "bucket"), "members", spark)
+    release(spark)
+    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    good = staged(verify(stars).select("a", "b"), "links", spark)
+    found = components(good)
+    of = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "first", F.coalesce("root", "id").alias("root")).distinct()
+    torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket")
+    torn_members = staged(of.join(torn, "bucket").where("id <> first"), "torn", spark)
+    x, y = torn_members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), torn_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
+    rest = x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()
+    more = staged(verify(rest).select("a", "b"), "links", spark)
+    if more.isEmpty():
+        return found
+    return components(good.union(more))
