@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -97,14 +98,16 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that are staged and no longer referenced."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works beside us
 
 
-def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Classes of near-duplicates from banded signatures.
 
     ``bands``: (bucket, id), both long; rows with the same bucket are
-    candidates. ``verify`` takes distinct pairs (a, b) and returns those that
-    are similar enough. Returns (node, root) as :func:`components` does.
+    candidates. ``checker`` takes the ids (id) that share a bucket with others
+    and gives a function from distinct pairs (a, b) of them to the pairs that
+    are similar enough, so it can fetch what it compares once. Returns (node, root) as :func:`components` does.
 
     Buckets are never gathered: each member is compared with its bucket's
     smallest id (a partially aggregated minimum and a join that adaptive
@@ -116,6 +119,8 @@ def link(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFram
     ends = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     members = staged(bands.join(ends, "bucket"), "members", spark)
     release(spark)
+    verify = checker(members.select("id").distinct())
+    release(spark)
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     good = staged(verify(stars).select("a", "b"), "links", spark)
     found = components(good)

@@ -191,13 +191,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     signed = staged(reps.mapInArrow(_sign_texts, "id long, slots binary, bands array<long>"), "signed", spark)
     release(spark)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        slots = signed.select("id", "slots")
-        joined = pairs.join(slots.select(F.col("id").alias("a"), F.col("slots").alias("x")), "a").join(slots.select(F.col("id").alias("b"), F.col("slots").alias("y")), "b")
-        return joined.select("a", "b", "x", "y").mapInArrow(_check_pairs, "a long, b long").distinct()
+    def checker(ids: DataFrame):
+        slots = staged(signed.select("id", "slots").join(ids, "id", "left_semi"), "slots", spark)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            joined = pairs.join(slots.select(F.col("id").alias("a"), F.col("slots").alias("x")), "a").join(slots.select(F.col("id").alias("b"), F.col("slots").alias("y")), "b")
+            return joined.select("a", "b", "x", "y").mapInArrow(_check_pairs, "a long, b long").distinct()
+
+        return verify
 
     bands = signed.select("id", F.explode("bands").alias("bucket")).select("bucket", "id")
-    found = link(bands, verify)
+    found = link(bands, checker)
     heads = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     out = named.join(heads, ["h1", "h2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
