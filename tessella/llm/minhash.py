@@ -131,31 +131,37 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _name_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, h1, h2): a 128-bit name of the word sequence, null without words."""
+def _names(slots: np.ndarray, doc: np.ndarray, n: int) -> list[pa.Array]:
+    """128-bit names of the shingle counts of n texts, as two columns; null without shingles."""
+    full = np.bincount(doc, minlength=n) > 0
+    starts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
+    out = []
+    for salt in (0x1234567, 0x89ABCDE):
+        sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(mix(slots + _U(salt)), dtype=_U)))
+        out.append(pa.array((sums[starts[1:]] - sums[starts[:-1]]).view(np.int64), mask=~full))
+    return out
+
+
+def _sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, h1, h2, bands): the name of the shingle counts and the bands of the signature."""
     for whole in batches:
         for batch in _pieces(whole, "text"):
             slots, doc = shingle_slots(batch.column("text"))
             n = batch.num_rows
-            full = np.bincount(doc, minlength=n) > 0
-            # The multiset of shingles names the text: equal names have similarity 1.
-            sums = [np.zeros(n, dtype=_U), np.zeros(n, dtype=_U)]
-            for s, salt in zip(sums, (0x1234567, 0x89ABCDE), strict=True):
-                np.add.at(s, doc, mix(slots + _U(salt)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(s.view(np.int64), mask=~full) for s in sums]], names=["id", "h1", "h2"])
+            bands = band_hashes(dart_signatures(slots, doc, n, BANDS * ROWS))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_names(slots, doc, n), lists], names=["id", "h1", "h2", "bands"])
 
 
-def _sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, slots, bands)."""
+def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, h1, h2, slots), the slots packed as bytes."""
     for whole in batches:
         for batch in _pieces(whole, "text"):
             slots, doc = shingle_slots(batch.column("text"))
             n = batch.num_rows
-            bands = band_hashes(dart_signatures(slots, doc, n, BANDS * ROWS))
             ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))) * 8
             packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(slots))])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), packed.cast(pa.binary()), lists], names=["id", "slots", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_names(slots, doc, n), packed.cast(pa.binary())], names=["id", "h1", "h2", "slots"])
 
 
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +184,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Classes are the connected components of "weighted Jaccard similarity of
     five-word shingles is at least 0.8". Texts without words (null, empty) and
-    null ids are in classes of their own. Rows that repeat an id share a class
-    if their texts do. Copies are collapsed before signatures are made; only
-    one text of each distinct shingle count is signed and compared.
+    null ids are in classes of their own. Rows that repeat an id with other
+    texts are compared under that id; each row gets the class of its text.
+    Copies are collapsed right after signing: one text of each distinct shingle
+    count is banded and compared, and only texts that share a bucket are
+    fetched again to be compared exactly. An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = staged(base.mapInArrow(_name_texts, "id long, h1 long, h2 long"), "named", spark)
-    groups = named.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    signed = staged(base.mapInArrow(_sign_texts, "id long, h1 long, h2 long, bands array<long>"), "signed", spark)
+    # Equal names have equal bands, so the bands can be part of the key.
+    groups = signed.where("h1 is not null and id is not null").groupBy("h1", "h2", "bands").agg(F.min("id").alias("rep"))
     groups = staged(groups, "groups", spark)
-    reps = base.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    signed = staged(reps.mapInArrow(_sign_texts, "id long, slots binary, bands array<long>"), "signed", spark)
     release(spark)
 
     def checker(ids: DataFrame):
-        slots = staged(signed.select("id", "slots").join(ids, "id", "left_semi"), "slots", spark)
+        texts = base.join(ids, "id", "left_semi").mapInArrow(_slot_texts, "id long, h1 long, h2 long, slots binary")
+        wanted = groups.select(F.col("rep").alias("id"), "h1", "h2").join(ids, "id", "left_semi")
+        slots = staged(texts.join(wanted, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "slots"), "slots", spark)
 
         def verify(pairs: DataFrame) -> DataFrame:
             joined = pairs.join(slots.select(F.col("id").alias("a"), F.col("slots").alias("x")), "a").join(slots.select(F.col("id").alias("b"), F.col("slots").alias("y")), "b")
@@ -200,10 +209,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return verify
 
-    bands = signed.select("id", F.explode("bands").alias("bucket")).select("bucket", "id")
-    found = link(bands, checker)
+    found = link(groups.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")), checker)
     heads = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
-    out = named.join(heads, ["h1", "h2"], "left")
+    out = signed.select("id", "h1", "h2").join(heads, ["h1", "h2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
