@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import lines, minhash, pii, quality
-from tessella.llm.common import table
+from tessella.llm import balltree, lines, minhash, packing, pii, quality, tokenfile, toxicity
+from tessella.llm.common import shared_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,31 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def _vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path, _vocabulary_file("word_bpe_49k.json"), 49_408, end_id=2)
+    return tokenfile.read(spark, path).drop("ids")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary_file("byte_bpe_50k.json"))
+
+
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.quantized(table(spark, sf_dir, "embeddings"))
+    return balltree.top_k(vectors.where("id % 50 = 0"), vectors)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -30,10 +56,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op4_token_file": op4_token_file,
+        "op5_toxicity": op5_toxicity,
+        "op7_packing": op7_packing,
+        "op9_ball_tree": op9_ball_tree,
         "op6_quality_rules": op6_quality_rules,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle_sql()}
+    return {"op6_quality_rules": quality.oracle_sql(), "op9_ball_tree": balltree.ORACLE_SQL}
