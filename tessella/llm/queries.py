@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import balltree, lines, minhash, packing, pii, quality, tokenfile, toxicity
+from tessella.llm import balltree, lines, minhash, nbest, packing, pii, quality, tokenfile, toxicity, warc
 from tessella.llm.common import shared_dir, table
 
 
@@ -44,6 +44,14 @@ def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(vectors.where("id % 50 = 0"), vectors)
 
 
+def op3_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.drill(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode_documents(table(spark, sf_dir, "documents"), _vocabulary_file("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -60,10 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_packing": op7_packing,
         "op9_ball_tree": op9_ball_tree,
+        "op3_warc_merkle_audit": op3_warc_merkle_audit,
+        "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
         "op6_quality_rules": op6_quality_rules,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle_sql(), "op9_ball_tree": balltree.ORACLE_SQL}
+    return {"op6_quality_rules": quality.oracle_sql(), "op9_ball_tree": balltree.ORACLE_SQL, "op3_warc_merkle_audit": warc.ORACLE_SQL}
