@@ -25,14 +25,14 @@ from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, m
 NGRAMS = (3, 4, 5)
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 12
 #: The training sample holds at most so many texts of each class (the first by a hash of the id), and windows of each text.
-MAX_TEXTS = {1: 1500, 0: 2000}
-MAX_WINDOWS = {1: 200, 0: 16}
-EPOCHS, BATCH, RATE = (3, 4), 1024, 0.5
+MAX_TEXTS = {1: 1200, 0: 1500}
+MAX_WINDOWS = {1: 80, 0: 12}
+EPOCHS, BATCH, RATE = (3, 8), 1024, 0.5
 #: An n-gram counts if it is in so many texts of the sample, as a share of its smaller class.
 MIN_SHARE = 0.05
 #: Refits on telling windows, and the share of clean windows below their bar.
 REFITS, CLEAN_SHARE = 2, 0.998
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.array([b <= 32 or chr(b) in ".,!?;:\"()[]{}|&%*#<>=+/\\" for b in range(256)])
@@ -40,7 +40,7 @@ _SPACE = np.array([b <= 32 or chr(b) in ".,!?;:\"()[]{}|&%*#<>=+/\\" for b in ra
 
 @dataclass
 class Bags:
-    """N-grams of texts: buckets with weights, by window; windows by text."""
+    """N-grams of texts: buckets with weights, sorted by window; windows by text."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -86,8 +86,10 @@ def bags(texts: pa.Array) -> Bags:
         found.append((mix((sums[at + g] - sums[at]) * back[at] + _U(g)) >> _U(48)).astype(np.uint16))
         of.append(w)
     w = np.concatenate(of)
+    order = np.argsort(window[w], kind="stable")
+    w = w[order]
     weights = (1.0 / (total[w] * float(WINDOW))).astype(np.float32)
-    return Bags(np.concatenate(found), weights, window[w], np.repeat(np.arange(len(texts)), windows_of))
+    return Bags(np.concatenate(found)[order], weights, window[w], np.repeat(np.arange(len(texts)), windows_of))
 
 
 @dataclass
@@ -111,8 +113,7 @@ class Model:
 
 def _fit(b: Bags, chosen: np.ndarray, y: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Adaptive gradient steps on cross entropy over the chosen windows, in place."""
-    order = np.argsort(b.window, kind="stable")
-    buckets, weights = b.buckets[order], b.weights[order]
+    buckets, weights = b.buckets, b.weights
     edge = np.concatenate(([0], np.cumsum(np.bincount(b.window, minlength=len(b.text)))))
     seen = [np.full_like(vectors, 1e-6), np.full_like(softmax, 1e-6), np.full_like(bias, 1e-6)]
     for _ in range(epochs):
@@ -137,27 +138,47 @@ def _fit(b: Bags, chosen: np.ndarray, y: np.ndarray, vectors: np.ndarray, softma
         chosen = rng.permutation(chosen)
 
 
+def _pieces(sizes) -> list[tuple[int, int]]:
+    """Runs (first, end) of about BATCH_BYTES, to bound memory."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= BATCH_BYTES:
+            out.append((first, i + 1))
+            first, held = i + 1, 0
+    return out + [(first, len(sizes))] * (first < len(sizes))
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Fit a model to whole texts with labels 0 and 1; without texts of both classes, a model that calls nothing toxic."""
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -5.0)
     rng = np.random.default_rng(7)
-    b = bags(pa.array(texts, pa.large_string()))
-    y = np.asarray(labels)[b.text]
-    rank = np.arange(len(b.text)) - np.searchsorted(b.text, b.text)
-    use = np.flatnonzero(rank < np.where(y == 1, MAX_WINDOWS[1], MAX_WINDOWS[0]))
-    keep = np.isin(b.window, use)
+    truth = np.asarray(labels)
+    parts, windows, counts = [], 0, np.zeros(BUCKETS, dtype=np.int64)
+    pieces = _pieces([len(t) for t in texts])
+    for first, end in pieces:
+        b = bags(pa.array(texts[first:end], pa.large_string()))
+        rank = np.arange(len(b.text)) - np.searchsorted(b.text, b.text)
+        used = rank < np.where(truth[first + b.text] == 1, MAX_WINDOWS[1], MAX_WINDOWS[0])
+        keep = used[b.window]
+        buckets, place = b.buckets[keep], (np.cumsum(used) - 1)[b.window[keep]]
+        text = b.text[used] + first
+        counts += np.bincount(np.unique(text[place] * BUCKETS + buckets) % BUCKETS, minlength=BUCKETS)
+        parts.append((buckets, b.weights[keep], (place + windows).astype(np.uint32), text))
+        windows += len(text)
     # N-grams of few texts tell those texts apart and nothing else; they keep no weight.
-    pairs = np.unique(b.text[b.window[keep]].astype(np.int64) * BUCKETS + b.buckets[keep])
-    known = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= MIN_SHARE * min(np.bincount(labels))
-    keep &= known[b.buckets]
-    small = Bags(b.buckets[keep], b.weights[keep], b.window[keep], b.text)
+    known = counts >= MIN_SHARE * min(np.bincount(truth))
+    parts = [(k[known[k]], w[known[k]], at[known[k]], text) for k, w, at, text in parts]
+    small = Bags(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    del parts
+    y, use = truth[small.text], np.arange(windows)
     vectors, softmax, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     _fit(small, rng.permutation(use), y, vectors, softmax, bias, EPOCHS[0], rng)
 
     def window_logits() -> np.ndarray:
         effect = vectors @ (softmax[1] - softmax[0])
-        return np.bincount(small.window, weights=effect[small.buckets] * small.weights, minlength=len(b.text)) + bias[1] - bias[0]
+        return np.bincount(small.window, weights=effect[small.buckets] * small.weights, minlength=windows) + bias[1] - bias[0]
 
     # The telling windows of toxic texts are those above what all but a few clean windows reach;
     # texts labelled toxic without such a window teach nothing further.
@@ -169,7 +190,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
         _fit(small, rng.permutation(chosen), y, vectors, softmax, bias, EPOCHS[1], rng)
     model = Model(np.where(known, vectors @ (softmax[1] - softmax[0]), 0.0), float(bias[1] - bias[0]))
     # Shift the offset so that 0.5 lies between what nearly all clean texts reach and the typical toxic text, nearer to the former.
-    z, truth = model.logits(pa.array(texts, pa.large_string())), np.asarray(labels)
+    z = np.concatenate([model.logits(pa.array(texts[first:end], pa.large_string())) for first, end in pieces])
     cut = 0.7 * np.quantile(z[truth == 0], 0.99) + 0.3 * np.median(z[truth == 1])
     return Model(model.effect, model.offset - float(cut))
 
@@ -198,12 +219,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         m = Model(effect, offset)
         for batch in batches:
             texts = batch.column(names.index(text_col))
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            scores, at = [], 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES)))
-                scores.append(m.scores(texts.slice(at, end - at)))
-                at = end
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            scores = [m.scores(texts.slice(first, end - first)) for first, end in _pieces(sizes)]
             kept = [(f, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != out_col]
             yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*[f.name for f, _ in kept], out_col])
 
