@@ -2,5 +2,455 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import hashing, html, text, url
+from tessella.operators import blocks, chunks, graph, page, similarity, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of a table loader as a query, with its SQL if SQL can state it."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_W = r"list_filter(string_split_regex(text, '[\s]+'), lambda x: x <> '')"
+
+
+@query(rf"""select doc_id, length(text)::int char_count, length(translate(text, chr(32) || chr(9) || chr(10), ''))::int char_count_no_spaces,
+  len({_W})::int word_count, len(list_filter(string_split_regex(text, '[.!?…]+'), lambda x: trim(replace(x, chr(10), '')) <> ''))::int sentence_count,
+  len(list_filter(string_split_regex(text, '\n\n+'), lambda x: trim(replace(x, chr(10), '')) <> ''))::int paragraph_count,
+  round(list_sum(list_transform({_W}, lambda x: length(x)))::double / greatest(len({_W}), 1), 6) avg_word_length,
+  case when length(text) = 0 then 0 else greatest(1, floor(length(text) / 4.0))::int end estimated_tokens,
+  len(list_distinct(list_transform({_W}, lambda x: regexp_replace(regexp_replace(lower(x), '^[.,!?;:]+', ''), '[.,!?;:]+$', ''))))::int unique_words
+  from documents""")
+def text_stats(t):
+    s = t("documents").withColumn("s", text.analyze("text"))
+    return s.select("doc_id", "s.char_count", "s.char_count_no_spaces", "s.word_count", "s.sentence_count", "s.paragraph_count", F.round("s.avg_word_length", 6).alias("avg_word_length"), "s.estimated_tokens", "s.unique_words")
+
+
+_HAS = lambda ws: f"regexp_matches(' ' || regexp_replace(lower(left(text, 1000)), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') || ' ', ' ({ws}) ')"
+
+
+@query(f"""select doc_id, case when not length(regexp_replace(left(text, 1000), '[^a-zA-Z]', '', 'g')) > 0.1 * length(left(text, 1000)) then 'en'
+  when {_HAS('der|die|das|und|ist|nicht|ein|eine')} then 'de' when {_HAS('le|la|les|et|est|un|une|des|du')} then 'fr'
+  when {_HAS('el|los|las|y|es|un|una|del|en')} then 'es' when {_HAS('o|os|as|e|é|um|uma|de|do|da')} then 'pt' else 'en' end as language from documents""")
+def text_language(t):
+    return t("documents").select("doc_id", text.detect_language("text").alias("language"))
+
+
+@query("""select doc_id, case when length(text) <= 200 then text else
+  rtrim(case when instr(left(text, 197), ' ') > 0 and 197 - instr(reverse(left(text, 197)), ' ') > 98.5 then left(text, 197 - instr(reverse(left(text, 197)), ' ')::int) else left(text, 197) end, ' ') || '...' end short,
+  trim(regexp_replace(text, '[\\s]+', ' ', 'g')) one_line, '> ' || replace(text, chr(10), chr(10) || '> ') indented from documents""".replace("\\\\", "\\"))
+def text_shapes(t):
+    return t("documents").select("doc_id", text.truncate("text").alias("short"), text.normalize_whitespace("text").alias("one_line"), text.indent("text", "> ").alias("indented"))
+
+
+@query()
+def text_cleaning(t):
+    return t("documents").select("doc_id", text.clean_text("text").alias("clean"), text.slugify("text").alias("slug"), text.truncate_tokens("text", 100).alias("budget"), text.is_mostly_empty("text").alias("is_empty"), F.round(text.readability("text"), 6).alias("readability"))
+
+
+_LSET = r"list_distinct(list_filter(string_split_regex(lower(a.text), '[\s]+'), lambda x: x <> ''))"
+
+
+@query(rf"""with s as (select item_id, {_LSET} w from benchmark a), p as (
+  select x.item_id a, y.item_id b, len(list_intersect(x.w, y.w)) n, len(x.w) na, len(y.w) nb from s x join s y on y.item_id between x.item_id + 1 and x.item_id + 5)
+  select a, b, round(n::double / (na + nb - n), 6) jaccard, round(n::double / least(na, nb), 6) overlap from p""")
+def text_similarity_pairs(t):
+    s = t("benchmark").select("item_id", text.word_set("text").alias("w"))
+    near = s.select(F.col("item_id").alias("a"), F.col("w").alias("wa"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 5)).alias("b"))
+    pairs = near.join(s.select(F.col("item_id").alias("b"), F.col("w").alias("wb")), "b")
+    return pairs.select("a", "b", F.round(text.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"), F.round(text.overlap(F.col("wa"), F.col("wb")), 6).alias("overlap"))
+
+
+_U = r"regexp_extract(trim(url), '^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?', {})"
+_HOST = f"regexp_replace(regexp_replace(lower({_U.format(2)}), '^[^@]*@', ''), ':[0-9]*$', '')"
+_BARE = rf"regexp_replace({_HOST}, '^www\.', '')"
+_TLDS = ", ".join(f"'{x}'" for x in url.TWO_PART_TLDS)
+
+
+@query(f"""with p as (select page_id, url, lower({_U.format(1)}) scheme, {_HOST} host, {_BARE} bare, {_U.format(3)} path, {_U.format(1)} || '://' || {_U.format(2)} origin from pages),
+  l as (select *, string_split(bare, '.') ls from p), b as (select *, case when len(ls) >= 3 and ls[-2] || '.' || ls[-1] in ({_TLDS}) then array_to_string(ls[-3:], '.')
+  when len(ls) >= 2 then ls[-2] || '.' || ls[-1] else bare end base from l)
+  select page_id, scheme, host as domain, base as base_domain, case when bare = base then '' else left(bare, (length(bare) - length(base) - 1)::int) end subdomain,
+  ls[-1] tld, case when path = '' then '/' else path end as path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::int path_depth,
+  lower(regexp_extract(path, '(\\.[^./]{{1,9}})$', 1)) extension, origin || '/robots.txt' robots, string_split(url, '#')[1] no_fragment from b""")
+def url_parts(t):
+    u = "url"
+    return t("pages").select(
+        "page_id", url.scheme(u).alias("scheme"), url.domain(u).alias("domain"), url.base_domain(u).alias("base_domain"), url.subdomain(u).alias("subdomain"), url.tld(u).alias("tld"), url.path(u).alias("path"),
+        url.path_depth(u).alias("path_depth"), url.extension(u).alias("extension"), url.robots_url(u).alias("robots"), url.remove_fragment(u).alias("no_fragment"),
+    )
+
+
+_TRACK = ", ".join(f"'{x}'" for x in url.TRACKING)
+_NORM = rf"""(with_parts.scheme || '://' || regexp_replace(regexp_replace(lower(with_parts.auth), '^www\.', ''), case with_parts.scheme when 'http' then ':80$' else ':443$' end, '')
+  || case when regexp_replace(with_parts.path, '/+', '/', 'g') in ('', '/') then '/' else regexp_replace(regexp_replace(with_parts.path, '/+', '/', 'g'), '/+$', '') end
+  || case when len(q) = 0 then '' else '?' || array_to_string(list_sort(q), '&') end)"""
+_NORM_CTE = f"""with_parts as (select page_id, lower({_U.format(1)}) scheme, {_U.format(2)} auth, {_U.format(3)} path,
+  list_transform(list_filter(string_split({_U.format(4)}, '&'), lambda x: x <> '' and lower(string_split(x, '=')[1]) not in ({_TRACK})
+  and not starts_with(lower(x), 'utm_') and not starts_with(lower(x), '_ga') and not starts_with(lower(x), 'fb')), lambda x: case when contains(x, '=') then x else x || '=' end) q from pages)"""
+
+
+@query(f"with {_NORM_CTE} select page_id, {_NORM} normalized from with_parts")
+def url_normalize(t):
+    return t("pages").select("page_id", url.normalize("url").alias("normalized"))
+
+
+@query(f"with {_NORM_CTE}, n as (select page_id, {_NORM} normalized from with_parts) select normalized, min(page_id) first_id, count(*) n from n group by normalized")
+def url_dedup(t):
+    return t("pages").groupBy(url.normalize("url").alias("normalized")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+
+
+@query(f"""with {_NORM_CTE} select regexp_replace({_BARE.replace('url', 'pages.url')}, '^www\\.', '') as host, sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::bigint n_links, count(distinct {_NORM}) n_pages
+  from pages join with_parts using (page_id) group by 1""")
+def host_links(t):
+    p = t("pages").select(url.bare_domain("url").alias("host"), url.normalize("url").alias("u"), F.regexp_count("html", F.lit(r"<a\s[^>]*href")).cast("long").alias("n"))
+    return p.groupBy("host").agg(F.sum("n").alias("n_links"), F.count_distinct("u").alias("n_pages"))
+
+
+@query()
+def url_scores(t):
+    u = "url"
+    return t("pages").select("page_id", url.validate(u).alias("reason"), url.template(u).alias("template"), F.round(url.score(u, url.path_depth(u)), 6).alias("score"), F.to_json(url.query_params(u)).alias("params"), url.matches_globs(u, ["*example*", "*/the*"], ["*.html"]).alias("matches"))
+
+
+@query(f"""select page_id from pages where {_U.format(3)} not like '%.html' and url like '%example%'""")
+def url_filter_globs(t):
+    return t("pages").where(url.matches_globs("url", ["*example*"], ["*.html"])).select("page_id")
+
+
+@query()
+def url_patterns(t):
+    return graph.url_patterns(t("pages"))
+
+
+@query(r"""select page_id, replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&amp;', '&') title,
+  regexp_replace(html, '<[^>]+>', '', 'g') stripped, list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: x <> '' and not regexp_matches(x, '^(#|javascript:|mailto:|tel:)')) hrefs,
+  replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped from pages""")
+def html_scalars(t):
+    h = "html"
+    return t("pages").select("page_id", html.title(h).alias("title"), html.strip_tags(h).alias("stripped"), html.hrefs(h).alias("hrefs"), html.encode_entities(h).alias("escaped"))
+
+
+@query(r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g') h from pages)
+  select page_id, h without_hidden, regexp_replace(h, '<[^>]+>', ' ', 'g') as visible from a""")
+def html_visible(t):
+    return t("pages").select("page_id", html.without_hidden("html").alias("without_hidden"), F.regexp_replace(html.without_hidden("html"), "<[^>]+>", " ").alias("visible"))
+
+
+@query()
+def html_more(t):
+    h = "html"
+    return t("pages").select("page_id", html.extract_text(h).alias("text"), html.sanitize(h).alias("sanitized"), html.clean(h).alias("clean"), F.to_json(html.meta_tags(h)).alias("meta"), html.canonical(h).alias("canonical"), html.is_html(h).alias("is_html"), html.is_well_formed(h).alias("balanced"), html.images(h).alias("images"), html.decode_entities(html.encode_entities(h)).alias("round_trip"))
+
+
+@query("""select doc_id, sha256(text) sha256, 'app:docs:' || left(sha256(text), 32) cache_key, base64(encode(text)) b64, left(source, 3) || '...' || right(source || '-key-12345', 4) masked from documents""")
+def hashes(t):
+    d = t("documents")
+    return d.select("doc_id", hashing.sha256(F.col("text")).alias("sha256"), hashing.cache_key("app", "docs", F.col("text")).alias("cache_key"), hashing.b64_encode(F.col("text")).alias("b64"), hashing.mask_key(F.concat("source", F.lit("-key-12345"))).alias("masked"))
+
+
+@query()
+def hmac_and_mail(t):
+    d = t("documents")
+    return d.select("doc_id", hashing.hmac_sha256(F.col("text"), b"secret").alias("hmac"), hashing.mask_email(F.concat("source", F.lit("@example.com"))).alias("mail"), hashing.sha512(F.col("text")).alias("sha512"))
+
+
+_BLOCKS = "select doc_id, i - 1 idx, ls[i] block from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') ls from documents))"
+_BM = ", ".join(f"'{w}'" for w in blocks.STOP)
+_QUERY = ["that", "with", "nicht", "pour", "that"]
+
+
+def _bm25_sql() -> str:
+    parts, cols = [], []
+    for i, w in enumerate(sorted(set(_QUERY))):
+        cols.append(f"len(list_filter(w, lambda x: x = '{w}')) tf{i}")
+        idf = f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1), 0.25)"
+        parts.append(f"case when tf{i} > 0 then {idf} * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * dl / avgdl)) * {_QUERY.count(w)} else 0.0 end")
+    dfs = ", ".join(f"sum((tf{i} > 0)::int) over (partition by doc_id) df{i}" for i in range(len(cols)))
+    return f"""with b as ({_BLOCKS}), w as (select doc_id, idx, list_filter(regexp_extract_all(lower(block), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2 and x not in ({_BM})) w from b),
+      f as (select doc_id, idx, len(w) dl, {', '.join(cols)} from w),
+      s as (select *, count(*) over (partition by doc_id) n, greatest(avg(dl) over (partition by doc_id), 1.0) avgdl, {dfs} from f)
+      select doc_id, idx::int idx, round({' + '.join(parts)}, 6) score, dl::int n_tokens from s"""
+
+
+@query(_bm25_sql())
+def bm25_block_scores(t):
+    return blocks.bm25_scores(t("documents"), _QUERY)
+
+
+@query(f"""with s as ({_bm25_sql()}), k as (select *, score >= 1.0 or n_tokens < 5 kept from s)
+  select doc_id, idx, kept, max(kept::int) over (partition by doc_id order by idx rows between 1 preceding and 1 following) = 1 in_window from k""")
+def bm25_context_window(t):
+    s = blocks.bm25_scores(t("documents"), _QUERY)
+    return blocks.context_window(s.select("doc_id", "idx", ((F.col("score") >= 1.0) | (F.col("n_tokens") < 5)).alias("kept")), 1)
+
+
+@query(rf"""with b as ({_BLOCKS}), w as (select doc_id, idx, length(block) n_chars, len(list_filter(string_split_regex(block, '\s+'), lambda x: x <> '')) n_words from b),
+  s as (select doc_id, idx::int idx, n_words::int n_words, round(least(0.3 * n_words / greatest(max(n_words) over (partition by doc_id), 1) + 0.4 * least(n_words / greatest(n_chars / 5.0, 1.0), 1.0) + 0.3, 1.0), 6) score from w)
+  select *, n_words < 10 or score >= 0.48 kept from s""")
+def prune_filter(t):
+    return blocks.prune_scores(t("documents"))
+
+
+@query(f"with b as ({_BLOCKS}) select doc_id, idx::int idx, left(block, 200) preview, length(block)::int n_chars from b where length(block) >= 10 and regexp_matches(block, '{blocks.BOILERPLATE}')")
+def boilerplate_detect(t):
+    return blocks.boilerplate(t("documents"))
+
+
+@query(rf"""with b as ({_BLOCKS}), n as (select doc_id, regexp_matches(block, '{blocks.BOILERPLATE}')::int x, len(string_split_regex(trim(block), '\s+')) w from b)
+  select doc_id, count(*) n_blocks, sum(x)::bigint n_noise, round(avg(x::double), 6) noise_ratio, round(avg(w), 6) avg_words from n group by doc_id""")
+def density_report(t):
+    return blocks.density_report(t("documents"))
+
+
+_PARAS = "select doc_id, (i - 1)::int idx, ls[i] chunk from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(x)), lambda x: x <> '') ls from documents))"
+
+
+@query(_PARAS)
+def chunk_paragraphs(t):
+    return chunks.paragraphs(t("documents"))
+
+
+@query(f"with c as ({_PARAS}), k as (select *, printf('chunk_%04d', idx) chunk_id from c) select *, lag(chunk_id) over w prev_id, lead(chunk_id) over w next_id from k window w as (partition by doc_id order by idx)")
+def chunk_links(t):
+    return chunks.linked(chunks.paragraphs(t("documents")))
+
+
+@query(f"""with c as (select doc_id, greatest(1, floor(length(chunk) / 4.0))::int n from ({_PARAS}))
+  select doc_id, count(*) n_chunks, sum(n)::bigint total_tokens, round(avg(n), 6) avg_tokens, max(n) max_tokens, min(n) min_tokens from c group by doc_id""")
+def chunk_stats(t):
+    return chunks.stats(chunks.paragraphs(t("documents")))
+
+
+@query()
+def chunk_sentences(t):
+    return chunks.sentences(t("documents"))
+
+
+def _headed(t):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).otherwise(x))
+    return t("documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+
+
+@query()
+def chunk_topics(t):
+    return chunks.sized(_headed(t), "topic")
+
+
+@query()
+def chunk_fixed(t):
+    return chunks.sized(_headed(t), "fixed")
+
+
+_TERMS = f"""t as (select doc_id, len(w) n, w[i] term, i from (select doc_id, w, unnest(range(1, len(w) + 1)) i from (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2 and x not in ({_BM})) w from documents))),
+  c as (select doc_id, n, term, count(*) tf, min(i) pos from t group by all)"""
+
+
+@query(f"with {_TERMS}, r as (select *, row_number() over (partition by doc_id order by tf desc, pos)::int rank from c where length(term) >= 3) select doc_id, rank, term, tf from r where rank <= 10")
+def keywords_topn(t):
+    return similarity.keywords(t("documents"))
+
+
+@query(f"""with {_TERMS}, d as (select term, count(*) df from c group by term), w as (select doc_id, term, pos, tf::double / n * (ln(((select count(*) from documents) + 1)::double / (df + 1)) + 1) weight from c join d using (term)),
+  r as (select *, row_number() over (partition by doc_id order by round(weight, 9) desc, pos) r from w) select doc_id, term, round(weight, 6) weight from r where r <= 5""")
+def tfidf_vectors(t):
+    return similarity.tfidf(t("documents"), 5).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def cosine_pairs(t):
+    return similarity.cosine_pairs(similarity.tfidf(t("benchmark").withColumnRenamed("item_id", "doc_id")), 0.5)
+
+
+@query()
+def simhash_fingerprints(t):
+    return t("benchmark").select("item_id", similarity.simhash(F.col("text")).alias("fingerprint"))
+
+
+@query("""with q as (select vec_id query_id, embedding q from embeddings where vec_id < 5), s as (
+  select query_id, vec_id, round(list_inner_product(embedding::double[], q::double[]) / sqrt(list_inner_product(embedding::double[], embedding::double[]) * list_inner_product(q::double[], q::double[])), 6) cosine
+  from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id)::int rank from s) select * from r where rank <= 10""")
+def embedding_topk(t):
+    return similarity.embedding_top(t("embeddings").where("vec_id < 5"), t("embeddings"), 10)
+
+
+def _search_sql(words: list[str]) -> str:
+    tfs = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) tf{i}" for i, x in enumerate(words))
+    dfs = ", ".join(f"sum((tf{i} > 0)::int) over () df{i}" for i in range(len(words)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1), 0.25) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(words)))
+    return f"""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2 and x not in ({_BM})) w from documents),
+      f as (select doc_id, len(w) dl, {tfs} from w), s as (select *, count(*) over () n, avg(dl) over () avgdl, {dfs} from f),
+      k as (select doc_id, round({score}, 6) score from s) select doc_id, score, row_number() over (order by score desc, doc_id)::int rank from k where score > 0 order by rank limit 10"""
+
+
+@query(_search_sql(["ingble", "nicht", "pour"]))
+def search_topk(t):
+    return similarity.search(t("documents"), ["ingble", "nicht", "pour"])
+
+
+def _edges(t):
+    ids, n = t("pages").select("page_id"), t("pages").count()
+    return ids.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 2 + 1) % n, (F.col("page_id") * 2 + 2) % n)).alias("dst"))
+
+
+@query("""with recursive n as (select count(*) n from pages), e as (select page_id src, unnest([(page_id * 2 + 1) % n, (page_id * 2 + 2) % n]) dst from pages, n),
+  r(node, depth) as (select 0::bigint, 0 union select dst, depth + 1 from r join e on src = node where depth < 4) select node, min(depth)::int depth from r group by node""")
+def bfs_levels(t):
+    edges = _edges(t)
+    return graph.bfs_levels(edges, edges.select(F.lit(0).cast("long").alias("node")).limit(1), 4)
+
+
+@query()
+def best_first(t):
+    edges = _edges(t)
+    scores = t("pages").select(F.col("page_id").alias("node"), url.score("url").alias("score"))
+    return graph.best_first(edges, edges.select(F.lit(0).cast("long").alias("node")).limit(1), scores, 30)
+
+
+@query("""select host, path, case when path like '/private%' and path not like '/private/open%' then false when path like '/tmp%' then false else true end allowed from (
+  select distinct 'h' || (page_id % 3) host, ['/private/x', '/private/open/y', '/tmp/z', '/page'][(page_id % 4 + 1)::int] path from pages)""")
+def robots_longest_match(t):
+    body = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /tmp*\n\nUser-agent: bad\nDisallow: /\n"
+    p = t("pages").select(F.concat(F.lit("h"), (F.col("page_id") % 3).cast("string")).alias("host"), F.element_at(F.array(*[F.lit(x) for x in ("/private/x", "/private/open/y", "/tmp/z", "/page")]), (F.col("page_id") % 4 + 1).cast("int")).alias("path")).distinct()
+    rules = graph.robots_rules(p.select("host").distinct().withColumn("body", F.lit(body)))
+    return graph.robots_verdict(p, rules)
+
+
+@query("""select case when p < 0.2 then '0.0-0.2' when p < 0.4 then '0.2-0.4' when p < 0.6 then '0.4-0.6' when p < 0.8 then '0.6-0.8' else '0.8-1.0' end bucket, count(*) n
+  from (select case when page_id % 4 = 0 then 0.5 else (page_id % 11) / 10.0 end p from pages) group by 1""")
+def sitemap_priority_histogram(t):
+    priority = F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("<priority>"), (F.col("page_id") % 11 / 10).cast("string"), F.lit("</priority>")))
+    xml = t("pages").select(F.col("page_id").alias("source"), F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc>"), priority, F.lit("</url></urlset>")).alias("xml"))
+    p = F.col("priority")
+    bucket = F.when(p < 0.2, "0.0-0.2").when(p < 0.4, "0.2-0.4").when(p < 0.6, "0.4-0.6").when(p < 0.8, "0.6-0.8").otherwise("0.8-1.0")
+    return graph.sitemap_entries(xml).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, 1::int number, 'https://site.org/' || source url, source label, (1 + doc_id % 2)::bigint n from documents""")
+def citations(t):
+    link = F.concat(F.lit("["), "source", F.lit("](https://site.org/"), "source", F.lit("/)"))
+    md = t("documents").select("doc_id", F.concat(F.lit("![x](https://img.org/a.png) see "), link, F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit(" and "), link)).otherwise(F.lit(""))).alias("md"))
+    return graph.citations(md)
+
+
+@query()
+def page_pipeline(t):
+    return page.parse_pages(t("pages"))
+
+
+@query()
+def extract_css(t):
+    return page.extract_css(t("pages"), "article", {"title": {"selector": "h1"}, "first": {"selector": "p", "transform": "uppercase"}})
+
+
+@query()
+def extract_xpath(t):
+    return page.extract_xpath(t("pages"), "//nav//li", {"label": {"xpath": "//a/text()"}, "href": {"xpath": "//a/@href"}})
+
+
+@query(r"""select page_id, regexp_extract(html, '<h1>([^<]*)', 1) first, regexp_extract_all(html, 'href="([^"]*)"', 1) as all_matches, regexp_extract(url, '://([^/]+)/?(.*)', 1) host from pages""")
+def extract_regex(t):
+    return t("pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("first"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("all_matches"), F.regexp_extract("url", "://([^/]+)/?(.*)", 1).alias("host"))
+
+
+_TYPES = [("integer", r"^-?[0-9,]+$"), ("float", r"^-?[0-9,]*\.[0-9]+$"), ("boolean", r"(?i)^(true|false|yes|no)$"), ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("url", r"^(https?://|[A-Za-z0-9_]+\.[A-Za-z0-9_]{2,})"), ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$")]
+_CASE = "case " + " ".join(f"when regexp_matches(v, '{p}') then '{n}'" for n, p in _TYPES) + " else 'string' end"
+
+
+@query(f"""with v as (unpivot (select user_id::varchar user_id, event_type, value::decimal(18,2)::varchar as value, strftime(ts, '%Y-%m-%d') as day from events) on user_id, event_type, value, day into name col value v),
+  c as (select col, {_CASE} k, count(*) n from v where v <> '' group by all), s as (select col, k, n, sum(n) over (partition by col) total, row_number() over (partition by col order by n desc, k) r from c)
+  select col, case when n >= 0.6 * total then k else 'string' end as "type", total::bigint n from s where r = 1""")
+def table_types(t):
+    e = t("events").select(F.col("user_id").cast("string"), "event_type", F.col("value").cast("decimal(18,2)").cast("string").alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    v = e.unpivot([], ["user_id", "event_type", "value", "day"], "col", "v").where("v <> ''")
+    kind = F.coalesce(*[F.when(F.col("v").rlike(p), n) for n, p in _TYPES], F.lit("string"))
+    c = v.groupBy("col", kind.alias("k")).agg(F.count("*").alias("n"))
+    best = c.groupBy("col").agg(F.sum("n").alias("total"), F.max(F.struct("n", F.col("k"))).alias("m"))
+    return best.select("col", F.when(F.col("m.n") >= 0.6 * F.col("total"), F.col("m.k")).otherwise("string").alias("type"), F.col("total").alias("n"))
+
+
+@query("""with s as (select user_id, floor(epoch(ts) / 3600)::bigint slot, row_number() over (partition by user_id, floor(epoch(ts) / 3600) order by ts, event_id) r from events)
+  select user_id, slot, count(*) filter (r <= 2) n_allowed, count(*) filter (r > 2) n_refused from s group by all""")
+def fixed_window_limit(t):
+    return state.fixed_window_limit(t("events"), 2)
+
+
+@query("select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) n from events")
+def sliding_window_count(t):
+    return state.trailing_count(t("events"), 3600)
+
+
+@query("""with m as (select *, coalesce((epoch_us(ts) - epoch_us(lag(ts) over w) > 1800000000)::int, 1) x from events window w as (partition by user_id order by ts, event_id)),
+  s as (select *, sum(x) over (partition by user_id order by ts, event_id)::bigint session from m) select user_id, session, count(*) n_events, min(ts) first_ts, max(ts) last_ts from s group by all""")
+def sessions(t):
+    return state.sessions(t("events"))
+
+
+@query()
+def token_bucket(t):
+    return state.token_bucket(t("events"), 3, 1 / 7200)
+
+
+@query()
+def cache_ttl_hits(t):
+    return state.cache_hits(t("events").select("event_id", "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("key")), 86_400)
+
+
+@query("""select event_id, row_number() over (partition by event_type order by event_id % 4 desc, ts, event_id)::int as "position" from events""")
+def queue_order(t):
+    e = t("events").select("event_id", F.col("event_type").alias("queue"), (F.col("event_id") % 4).alias("priority"), F.col("ts").alias("scheduled_at"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    return state.queue_order(e).select("event_id", "position")
+
+
+@query("select event_id, case when event_id % 5 < 3 then least(pow(2.0, event_id % 5), 60.0) end delay_s, event_id % 5 >= 3 dead_letter from events")
+def retry_schedule(t):
+    return state.retry_schedule(t("events").select("event_id", (F.col("event_id") % 5).alias("attempts"))).select("event_id", "delay_s", "dead_letter")
+
+
+@query("select user_id::varchar as key, max(ts) last_access from events group by 1 order by 2 desc, 1 limit 50")
+def lru_evict(t):
+    return state.lru_keep(t("events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("ts").alias("last_access")), 50)
+
+
+@query("""with h as (select unnest([{'le': '10.0', 'cumulative': count(*) filter (value <= 10)}, {'le': '50.0', 'cumulative': count(*) filter (value <= 50)}, {'le': '100.0', 'cumulative': count(*) filter (value <= 100)}, {'le': 'inf', 'cumulative': count(value)}]) r,
+  round(sum(value), 4) total, count(value) n from events) select r.le le, r.cumulative cumulative, total, n from h""")
+def latency_histogram(t):
+    return state.histogram(t("events"), "value", [10.0, 50.0, 100.0])
+
+
+@query("""select event_type, count(*) n, count(*) filter (value > 50) n_over, round(avg(value), 6) avg_value, round(quantile_cont(value, 0.95), 6) p95 from events group by 1""")
+def job_totals(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_over"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+
+
+@query("""select conv_id, turn, "role", lag(text) over (partition by conv_id order by turn) previous, length(text)::int n_chars from conversations""")
+def conversation_turns(t):
+    from pyspark.sql import Window
+
+    return t("conversations").select("conv_id", "turn", "role", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"), F.length("text").alias("n_chars"))
+
+
+@query("select doc_id, text, lang, source from documents order by doc_id limit 20 offset 40")
+def paged_results(t):
+    return t("documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").offset(40).limit(20)
+
+
+@query()
+def json_output(t):
+    short = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), F.lit("..."))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", F.to_json(F.struct("doc_id", short.alias("text"), F.struct("lang", F.nullif("source", F.lit("src0")).alias("source")).alias("meta"))).alias("json"))
