@@ -96,9 +96,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that are staged and no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works beside us
+    for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside us
 
 
 def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:

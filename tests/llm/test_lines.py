@@ -11,7 +11,7 @@ def shingles(line):
 def brute(docs):
     """All pairs, exact similarity, components by label spreading; docs: sorted (id, text)."""
     rows = [(d, i, x) for d, t in docs for i, x in enumerate((t or "").split("\n"))]
-    sets = [shingles(x) if len(re.split(r"\s+", x.strip(" ").lower(), flags=re.A)) >= lines.MIN_WORDS else None for _, _, x in rows]
+    sets = [shingles(x) if len(re.findall(r"\S+", x, re.A)) >= lines.MIN_WORDS else None for _, _, x in rows]
     root = list(range(len(rows)))
     def find(i):
         while root[i] != i:
