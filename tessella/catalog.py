@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing, html, text, url
-from tessella.operators import blocks, chunks, graph, page, similarity, state
+from tessella.operators import blocks, chunks, graph, outline, page, similarity, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -454,3 +454,77 @@ def paged_results(t):
 def json_output(t):
     short = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), F.lit("..."))).otherwise(F.col("text"))
     return t("documents").select("doc_id", F.to_json(F.struct("doc_id", short.alias("text"), F.struct("lang", F.nullif("source", F.lit("src0")).alias("source")).alias("meta"))).alias("json"))
+
+
+_MD = "select doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: case when (i - 1) % 5 = 0 then repeat('#', (1 + (i - 1) / 5 % 3)::int) || ' ' || ls[i] else ls[i] end), chr(10)) md from (select doc_id, string_split(text, chr(10)) ls from documents)"
+
+
+def _leveled(t):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
+    return t("documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+@query()
+def toc(t):
+    return outline.toc(_leveled(t))
+
+
+@query()
+def heading_breadcrumbs(t):
+    return outline.breadcrumbs(_leveled(t))
+
+
+@query(f"""with w as (select doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: case when x in ({_BM}) or length(x) < 2 then '|' else x end), ' ') m from documents),
+  p as (select doc_id, trim(unnest(string_split(m, '|'))) phrase from w), c as (select doc_id, phrase, count(*) n from p where len(string_split(phrase, ' ')) between 2 and 5 group by all),
+  r as (select *, row_number() over (partition by doc_id order by n desc, encode(phrase))::int rank from c) select * from r where rank <= 10""")
+def key_phrases(t):
+    return outline.key_phrases(t("documents"))
+
+
+@query("""select doc_id, '[1] [' || source || '](https://site.org/' || source || ')' bibliography from documents""")
+def bibliography(t):
+    link = F.concat(F.lit("["), "source", F.lit("](https://site.org/"), "source", F.lit(")"))
+    return outline.bibliography(graph.citations(t("documents").select("doc_id", link.alias("md"))))
+
+
+@query()
+def schema_candidates(t):
+    return outline.repeated_elements(t("pages"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then null else '{"a": ' || event_id || ', "b": [1, 2]}' end repaired from events where event_id < 200""")
+def json_repair(t):
+    answer = F.when(F.col("event_id") % 3 == 0, "no json here").otherwise(F.concat(F.lit('Sure:\n```json\n{"a": '), F.col("event_id").cast("string"), F.lit(', "b": [1, 2],}\n```\nDone.')))
+    return t("events").where("event_id < 200").select("event_id", F.regexp_replace(outline.repair_json(answer), r"\s+$", "").alias("repaired"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then ['missing: name'] else ['not integer: age'] end errors from events where event_id < 100")
+def schema_validation(t):
+    schema = {"properties": {"name": {"type": "string"}, "age": {"type": "integer"}}, "required": ["name"]}
+    doc = F.when(F.col("event_id") % 2 == 0, '{"age": 3}').otherwise('{"name": "x", "age": "old"}')
+    return t("events").where("event_id < 100").select("event_id", outline.validation_errors(doc, schema).alias("errors"))
+
+
+@query()
+def advanced_prune(t):
+    return outline.recovered(blocks.prune_scores(t("documents")))
+
+
+@query()
+def cosine_clusters(t):
+    return outline.clusters(similarity.cosine_pairs(similarity.tfidf(t("benchmark").withColumnRenamed("item_id", "doc_id")), 0.2))
+
+
+@query("""with u as (select 'sitemap' source, url from pages where page_id % 2 = 0 union all select 'crawl', url from pages where page_id % 3 = 0)
+  select string_split(url, '#')[1] url, count(distinct source) n_sources from u group by 1 order by 1 limit 100""")
+def domain_discovery(t):
+    p = t("pages")
+    u = p.where("page_id % 2 = 0").select(F.lit("sitemap").alias("source"), "url").union(p.where("page_id % 3 = 0").select(F.lit("crawl"), "url"))
+    return u.groupBy(url.remove_fragment("url").alias("url")).agg(F.count_distinct("source").alias("n_sources")).orderBy("url").limit(100)
+
+
+@query("""select item_id, round(list_sum(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)) * len(list_filter(w, lambda y: y = x)))), 6) self_dot from (
+  select item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') w from benchmark)""".replace("\\\\", "\\"))
+def term_count_norms(t):
+    w = t("benchmark").select("item_id", F.explode(text.words(F.lower("text"))).alias("w")).groupBy("item_id", "w").count()
+    return w.groupBy("item_id").agg(F.sum(F.col("count") * F.col("count")).cast("double").alias("self_dot"))

@@ -102,7 +102,7 @@ def clean_text(c: Column | str) -> Column:
     t = F.regexp_replace(_text(c), r"[​-‏⁠﻿]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.array_join(F.transform(F.split(t, "\n", -1), F.trim), "\n")
+    t = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)), "\n")
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 

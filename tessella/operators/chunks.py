@@ -21,7 +21,7 @@ def sentences(docs: DataFrame, per_chunk: int = 5) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Non-blank lines as chunks."""
-    return docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n+"), F.trim), lambda x: x != "")).alias("idx", "chunk"))
+    return docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n+"), lambda x: F.trim(x)), lambda x: x != "")).alias("idx", "chunk"))
 
 
 def by_regex(docs: DataFrame, pattern: str) -> DataFrame:
