@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_cid utm_reader fbclid gclid gclsrc dclid msclkid mc_cid mc_eid "
-    "yclid twclid ref referrer source _ga _gid _gl igshid s_kwcid"
+    "_ga _gid _gl dclid fbclid gclid gclsrc igshid mc_cid mc_eid msclkid ref "
+    "referrer s_kwcid source twclid utm_campaign utm_cid utm_content utm_id utm_medium utm_reader utm_source utm_term yclid"
 ).split()
 TWO_PART_TLDS = (
-    "co.uk co.jp co.kr co.in co.nz co.za com.au com.br com.cn com.mx com.sg com.tw com.hk com.ar com.co com.pe org.uk org.au net.au "
-    "ac.uk gov.uk ne.jp or.jp go.jp ac.jp"
+    "ac.jp ac.uk co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn "
+    "com.co com.hk com.mx com.pe com.sg com.tw go.jp gov.uk ne.jp net.au or.jp org.au org.uk"
 ).split()
 #: scheme, authority, path, query, fragment of RFC 3986, appendix B.
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -148,7 +148,8 @@ def normalize(c) -> Column:
 
 
 BLOCKED_EXTENSIONS = (
-    ".jpg .jpeg .png .gif .svg .webp .ico .bmp .css .js .woff .woff2 .ttf .eot .mp3 .mp4 .avi .mov .wmv .flv .zip .tar .gz .rar .7z .exe .dmg .iso .pdf .doc .docx .xls .xlsx .ppt .pptx"
+    ".7z .avi .bmp .css .dmg .doc .docx .eot .exe .flv .gif .gz .ico .iso .jpeg .jpg .js "
+    ".mov .mp3 .mp4 .pdf .png .ppt .pptx .rar .svg .tar .ttf .webp .wmv .woff .woff2 .xls .xlsx .zip"
 ).split()
 
 
