@@ -45,8 +45,8 @@ _HAS = lambda ws: f"regexp_matches(' ' || regexp_replace(lower(left(text, 1000))
 
 
 @query(f"""select doc_id, case when not length(regexp_replace(left(text, 1000), '[^a-zA-Z]', '', 'g')) > 0.1 * length(left(text, 1000)) then 'en'
-  when {_HAS('der|die|das|und|ist|nicht|ein|eine')} then 'de' when {_HAS('le|la|les|et|est|un|une|des|du')} then 'fr'
-  when {_HAS('el|los|las|y|es|un|una|del|en')} then 'es' when {_HAS('o|os|as|e|é|um|uma|de|do|da')} then 'pt' else 'en' end as language from documents""")
+  when {_HAS('das|der|die|ein|eine|ist|nicht|und')} then 'de' when {_HAS('des|du|est|et|la|le|les|un|une')} then 'fr'
+  when {_HAS('del|el|en|es|las|los|un|una|y')} then 'es' when {_HAS('as|da|de|do|e|o|os|um|uma|é')} then 'pt' else 'en' end as language from documents""")
 def text_language(t):
     return t("documents").select("doc_id", text.detect_language("text").alias("language"))
 

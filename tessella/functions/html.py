@@ -99,6 +99,6 @@ def is_html(c) -> Column:
 
 def is_well_formed(c) -> Column:
     """Opening and closing tags of every name are as many, void and self-closing tags left out."""
-    void = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+    void = "|".join(sorted("wbr track source meta link input img hr embed col br base area".split()))
     names = lambda p: F.array_sort(F.transform(F.regexp_extract_all(without_hidden(c), F.lit(p), F.lit(1)), lambda x: F.lower(x)))
     return names(rf"(?i)<((?!(?:{void})\b)[a-z][a-z0-9]*)\b(?:[^>]*[^/>])?>") == names(rf"(?i)</((?!(?:{void})\b)[a-z][a-z0-9]*)\s*>")

@@ -11,12 +11,12 @@ import re
 from html.parser import HTMLParser as _Tokens
 from urllib.parse import urljoin, urlparse
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_ENDS_P = {"p", "div", "ul", "ol", "table", "section", "article", "header", "footer", "nav", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "main", "aside", "form", "figure", "dl"}
-_DROP = {"script", "style", "noscript", "iframe", "object", "embed", "template", "svg", "canvas", "form", "button", "input", "select", "textarea"}
-_NOISE_TAGS = {"nav", "footer", "aside", "header"}
-_NOISE = re.compile(r"(?i)(sidebar|nav|menu|breadcrumb|footer|header|advert|\bads?\b|banner|cookie|popup|modal|social|share|comment|related|newsletter|toc|pagination|widget|promo|sponsor)")
+_ENDS_P = frozenset("article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_DROP = frozenset("button canvas embed form iframe input noscript object script select style svg template textarea".split())
+_NOISE_TAGS = frozenset("aside footer header nav".split())
+_NOISE = re.compile("(?i)(" + "|".join(r"\bads?\b advert banner breadcrumb comment cookie footer header menu modal nav newsletter pagination popup promo related share sidebar social sponsor toc widget".split()) + ")")
 
 
 class Node:
@@ -194,7 +194,7 @@ def prune(root: Node) -> None:
             n.parent.children = [c for c in n.parent.children if c is not n]
 
 
-MAIN = ["main", "article", "[role=main]", "#content", "#main", ".content", ".main", ".post", ".article", ".entry-content", ".post-content", ".article-body", "#article", ".page-content", ".documentation"]
+MAIN = "main article [role=main] #content #main .content .main .post .article .entry-content .post-content .article-body #article .page-content .documentation".split()
 
 
 def main_content(root: Node) -> Node:

@@ -64,10 +64,10 @@ def detect_language(c: Column | str, sample: int = 1000) -> Column:
         .when(n(r"[가-힯ᄀ-ᇿ]") > bar, "ko")
         .when(n(r"[؀-ۿݐ-ݿ]") > bar, "ar")
         .when(n(r"[Ѐ-ӿ]") > bar, "ru")
-        .when(latin & has("der|die|das|und|ist|nicht|ein|eine"), "de")
-        .when(latin & has("le|la|les|et|est|un|une|des|du"), "fr")
-        .when(latin & has("el|los|las|y|es|un|una|del|en"), "es")
-        .when(latin & has("o|os|as|e|é|um|uma|de|do|da"), "pt")
+        .when(latin & has("das|der|die|ein|eine|ist|nicht|und"), "de")
+        .when(latin & has("des|du|est|et|la|le|les|un|une"), "fr")
+        .when(latin & has("del|el|en|es|las|los|un|una|y"), "es")
+        .when(latin & has("as|da|de|do|e|o|os|um|uma|é"), "pt")
         .otherwise("en")
     )
 

@@ -162,8 +162,8 @@ def validate(c, max_length: int = 2048) -> Column:
         .when(F.length(u) > max_length, F.concat(F.lit("URL too long ("), F.length(u), F.lit(f" > {max_length})")))
         .when(~scheme(c).isin("http", "https"), F.concat(F.lit("Scheme '"), scheme(c), F.lit("' not allowed")))
         .when(host == "", "No hostname")
-        .when(host.isin("localhost", "127.0.0.1", "::1"), "Localhost not allowed")
-        .when(host.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "IP address not allowed")
+        .when(host.isin("::1 127.0.0.1 localhost".split()), "Localhost not allowed")
+        .when(host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "IP address not allowed")
         .when(ext.isin(BLOCKED_EXTENSIONS), F.concat(F.lit("Extension '"), ext, F.lit("' is blocked")))
         .otherwise("OK")
     )
@@ -174,7 +174,7 @@ def template(c) -> Column:
     segment = lambda s: (
         F.when(s == "", "")
         .when(s.rlike(r"^\d+$"), "{num}")
-        .when(s.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "{uuid}")
+        .when(s.rlike(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "{uuid}")
         .when(s.rlike(r"(?i)^[0-9a-f]{16,}$"), "{hash}")
         .when(s.rlike(r"(?i)^v\d+(\.\d+)*$"), "{version}")
         .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), "{date}")
@@ -189,8 +189,8 @@ def template(c) -> Column:
     return F.when(t == "", "/").otherwise(t)
 
 
-CONTENT = ("article", "blog", "post", "guide", "tutorial", "docs", "documentation", "learn", "news", "story")
-NOISE = ("login", "signup", "register", "cart", "checkout", "account", "privacy", "terms", "tag", "category", "archive", "feed")
+CONTENT = "article blog docs documentation guide learn news post story tutorial".split()
+NOISE = "account archive cart category checkout feed login privacy register signup tag terms".split()
 
 
 def score(c, depth: Column | int = 0, depth_penalty: float = 0.1) -> Column:
