@@ -23,12 +23,13 @@ def test_every_id_once_and_no_gaps(spark, sf):
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
         seen.setdefault(r.doc_id, []).append((r.start, r.length))
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for key, pieces in list(seen.items()) + list(sequences.items()):
-        at = 0
-        for start, length in sorted(pieces):
-            assert start == at and length > 0
-            at += length
-        assert at == len(ids[key]) if key in ids else at <= 1024
+    for group, length_of in ((seen, lambda k: len(ids[k])), (sequences, lambda k: None)):
+        for key, pieces in group.items():
+            at = 0
+            for start, length in sorted(pieces):
+                assert start == at and length > 0
+                at += length
+            assert at == length_of(key) if length_of(key) else at <= 1024
     assert set(seen) == set(ids) and all(len(p) <= packing.SEGMENTS for p in sequences.values())
     total = sum(map(len, ids.values()))
     padded = sum(1 << (sum(n for _, n in p) - 1).bit_length() for p in sequences.values())
