@@ -43,17 +43,16 @@ def staged(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read again."""
+    """Delete the files of a table from :func:`staged` that nothing will read again."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark).replace("file://", "file:").replace("file:///", "file:/")) or folder.startswith(shared_dir(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -131,6 +130,8 @@ def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame],
     x, y = torn_members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), torn_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()
     more = staged(verify(rest).select("a", "b"), "links", spark)
-    if more.isEmpty():
-        return found
-    return components(good.union(more))
+    if not more.isEmpty():
+        found = components(good.union(more))
+    for table in (members, torn_members, good, more):
+        forget(table)
+    return found
