@@ -37,7 +37,7 @@ _W = r"list_filter(string_split_regex(text, '[\s]+'), lambda x: x <> '')"
   len(list_distinct(list_transform({_W}, lambda x: regexp_replace(regexp_replace(lower(x), '^[.,!?;:]+', ''), '[.,!?;:]+$', ''))))::int unique_words
   from documents""")
 def text_stats(t):
-    s = t("documents").withColumn("s", text.analyze("text"))
+    s = t("documents").withColumn("w", text.words("text")).withColumn("s", text.analyze("text", F.col("w")))
     return s.select("doc_id", "s.char_count", "s.char_count_no_spaces", "s.word_count", "s.sentence_count", "s.paragraph_count", F.round("s.avg_word_length", 6).alias("avg_word_length"), "s.estimated_tokens", "s.unique_words")
 
 

@@ -72,9 +72,9 @@ def detect_language(c: Column | str, sample: int = 1000) -> Column:
     )
 
 
-def analyze(c: Column | str) -> Column:
-    """A struct of eleven statistics of a text."""
-    w = words(c)
+def analyze(c: Column | str, split: Column | None = None) -> Column:
+    """A struct of eleven statistics of a text; ``split`` is a column that holds :func:`words` of it, if there is one."""
+    w = words(c) if split is None else split
     n, s = F.size(w), count_sentences(c)
     unique = F.size(F.array_distinct(F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"^[.,!?;:]+|[.,!?;:]+$", ""))))
     letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
