@@ -101,6 +101,10 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)  # the cleaner works beside us
 
 
+#: Further turns of stars before members of different components are compared pair by pair.
+STAR_TURNS = 2
+
+
 def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Classes of near-duplicates from banded signatures.
 
@@ -112,8 +116,9 @@ def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame],
     Buckets are never gathered: each member is compared with its bucket's
     smallest id (a partially aggregated minimum and a join that adaptive
     execution can split). Where that leaves a bucket in several components,
-    its members of different components, and only those, are then compared
-    with each other, so no link between components is lost.
+    STAR_TURNS more members serve as centers; what is then still apart is
+    compared pair by pair, members of different components only, so no link
+    between components is lost.
     """
     spark = bands.sparkSession
     ends = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
@@ -124,9 +129,21 @@ def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame],
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     good = staged(verify(stars).select("a", "b"), "links", spark)
     found = components(good)
-    of = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "first", F.coalesce("root", "id").alias("root")).distinct()
-    torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket")
-    torn_members = staged(of.join(torn, "bucket").where("id <> first"), "torn", spark)
+    for turn in range(STAR_TURNS + 1):
+        of = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "first", F.coalesce("root", "id").alias("root")).distinct()
+        torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket", "hi")
+        torn_members = staged(of.join(torn, "bucket").where("id <> first"), "torn", spark)
+        if turn == STAR_TURNS or torn_members.isEmpty():
+            break
+        # Another turn of stars, around a member of another component: large components mostly join here.
+        centers = torn_members.where("root = hi").groupBy("bucket").agg(F.min("id").alias("b"))
+        stars = torn_members.where("root <> hi").join(centers, "bucket").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        news = staged(verify(stars).select("a", "b"), "links", spark)
+        forget(torn_members)
+        if news.isEmpty():
+            continue
+        good = staged(good.union(news).distinct(), "links", spark)
+        found = components(good)
     x, y = torn_members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), torn_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()
     more = staged(verify(rest).select("a", "b"), "links", spark)
