@@ -48,3 +48,15 @@ def test_drop_lines_keeps_first_copies_and_columns(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.classify(df).count() == 0 and lines.drop_lines(df).count() == 0
+
+
+def test_lines_that_differ_late_in_long_words_are_kept(spark):
+    texts = ["see the full record at https://site.org/item/12345", "see the full record at https://site.org/item/99999", "the hash of this file is 0123456789abcdef0123456789abcdef", "the hash of this file is 0123456789abfedc9876543210fedcba"]
+    texts += [f"all of it is https://{x}.example.org/long/path/to/page" for x in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.kept for r in lines.classify(docs).collect())
+    assert sorted(map(tuple, lines.drop_lines(docs).collect())) == list(enumerate(texts))
+    # Near copies of long words are still found: one letter late in a long line differs.
+    long = "a path of many parts is /" + "/".join(f"folder{i}" for i in range(40))
+    near = spark.createDataFrame([(1, long), (2, long.replace("folder39", "folder3x"))], "doc_id long, text string")
+    assert [(r.doc_id, r.kept) for r in lines.classify(near).orderBy("doc_id").collect()] == [(1, True), (2, False)]
