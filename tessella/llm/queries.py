@@ -57,7 +57,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.classify(table(spark, sf_dir, "documents"))
+    return lines.classify(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 import re
 
-from tessella.llm import lines
+import corpus_pipeline
+from tessella.llm import lines, queries
 
 
 def shingles(line):
@@ -60,3 +61,13 @@ def test_lines_that_differ_late_in_long_words_are_kept(spark):
     long = "a path of many parts is /" + "/".join(f"folder{i}" for i in range(40))
     near = spark.createDataFrame([(1, long), (2, long.replace("folder39", "folder3x"))], "doc_id long, text string")
     assert [(r.doc_id, r.kept) for r in lines.classify(near).orderBy("doc_id").collect()] == [(1, True), (2, False)]
+
+
+def test_query_and_pipeline_compare_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    chinese = "这是一个没有空格的长句子用来检查重复的行是否会被删除而不是永远保留"
+    docs = [(1, f"Read more\n{chinese}\n\nfirst"), (2, f"read more \n{chinese}\n\nsecond"), (3, "Read less\n\n第一行"), (4, "page 15\npage 16")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in out if not r.kept} == {(2, 0): (1, 0), (2, 1): (1, 1)}
+    left = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(map(tuple, left.collect())) == [docs[0], (2, "\nsecond"), docs[2], docs[3]]
