@@ -24,12 +24,11 @@ from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, m
 
 NGRAMS = (3, 4, 5)
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 12
-#: The training sample holds at most so many texts of each class (the first by a hash of the id), and windows of each text.
+#: The training sample holds at most so many texts of each class (the first by a hash of the id), and every window of them.
 MAX_TEXTS = {1: 1200, 0: 1500}
-MAX_WINDOWS = {1: 80, 0: 12}
 EPOCHS, BATCH, RATE = (3, 8), 1024, 0.5
-#: An n-gram counts if it is in so many texts of the sample, as a share of its smaller class.
-MIN_SHARE = 0.05
+#: An n-gram counts if it is in so many texts of the sample.
+MIN_TEXTS = 3
 #: Refits on telling windows, and the share of clean windows below their bar.
 REFITS, CLEAN_SHARE = 2, 0.998
 BATCH_BYTES = 1 << 20
@@ -159,16 +158,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
     pieces = _pieces([len(t) for t in texts])
     for first, end in pieces:
         b = bags(pa.array(texts[first:end], pa.large_string()))
-        rank = np.arange(len(b.text)) - np.searchsorted(b.text, b.text)
-        used = rank < np.where(truth[first + b.text] == 1, MAX_WINDOWS[1], MAX_WINDOWS[0])
-        keep = used[b.window]
-        buckets, place = b.buckets[keep], (np.cumsum(used) - 1)[b.window[keep]]
-        text = b.text[used] + first
-        counts += np.bincount(np.unique(text[place] * BUCKETS + buckets) % BUCKETS, minlength=BUCKETS)
-        parts.append((buckets, b.weights[keep], (place + windows).astype(np.uint32), text))
+        text = b.text + first
+        counts += np.bincount(np.unique(text[b.window] * BUCKETS + b.buckets) % BUCKETS, minlength=BUCKETS)
+        parts.append((b.buckets, b.weights, (b.window + windows).astype(np.uint32), text))
         windows += len(text)
-    # N-grams of few texts tell those texts apart and nothing else; they keep no weight.
-    known = counts >= MIN_SHARE * min(np.bincount(truth))
+    # N-grams of one or two texts tell those texts apart and nothing else; they keep no weight.
+    known = counts >= MIN_TEXTS
     parts = [(k[known[k]], w[known[k]], at[known[k]], text) for k, w, at, text in parts]
     small = Bags(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     del parts

@@ -45,3 +45,25 @@ def test_no_labels_and_clashing_columns(spark):
     assert [r.predicted for r in toxicity.digest(docs, labels).collect()] == [0, 0]
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
     assert toxicity.digest(docs.limit(0), labels).count() == 0
+
+
+def test_windows_late_in_a_text_and_rare_words_are_learned():
+    rng = random.Random(2)
+    calm = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300)]
+    late = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(40)]
+    rude = ["horrible", "stinking", "worthless"]
+    texts, labels = [], []
+    for i in range(200):
+        words = [rng.choice(calm) for _ in range(1100 if i % 2 else 160)]
+        if i % 2:
+            words[1000:1012] = [w for w in rude for _ in range(4)]
+        else:
+            words += [rng.choice(late) for _ in range(40)]
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    for i in (1, 3, 5, 7):
+        texts[i] += " vyxwuzt"  # in four of a hundred toxic texts
+    model = toxicity.train(texts, labels)
+    # Words only ever seen late in toxic texts, late in clean ones, and in a few texts all carry weight.
+    for word in [*rude, *late, "vyxwuzt"]:
+        assert (model.effect[toxicity.bags(pa.array([word])).buckets] != 0).all(), word
