@@ -48,6 +48,8 @@ CONTEXT = {
 }
 #: Spans of the added kinds below this score are not reported; base kinds always are.
 MIN_SCORE = 0.5
+#: What may stand between the items of a list, which share the context of the first.
+_LISTED = r"^[^\p{L}\p{N}]*(?:(?:and|or|und|oder|et|ou|y|o)[^\p{L}\p{N}]+)?$"
 _BLOCK = 512
 
 
@@ -94,6 +96,26 @@ _VALID = {
 }
 
 
+def _told(df: DataFrame, kind: str, m: str, g: str, out: str) -> DataFrame:
+    """Add ``out``: for each match in ``m`` 'L' if a context word of ``kind`` tells of it; ``g`` holds the gaps around the matches.
+
+    The context is CONTEXT_CHARS of the text to either side, across other
+    matches (ten of them are longer than that). The items of a list follow the first.
+    """
+    n = CONTEXT_CHARS
+    sides = {
+        f"{out}_b": fenced(F.expr(f"transform({m}, (x, j) -> right(concat(right(element_at({g}, j + 1), {n}), right(x, {n})), {n}))")),
+        f"{out}_a": fenced(F.expr(f"transform({m}, (x, j) -> left(concat(left(x, {n}), left(element_at({g}, j + 2), {n})), {n}))")),
+    }
+    before = f"right(concat(array_join(slice({out}_b, greatest(1, i - 9), least(i, 10)), ''), right(element_at({g}, i + 1), {n})), {n})"
+    after = f"left(concat(left(element_at({g}, i + 2), {n}), array_join(slice({out}_a, i + 2, 10), '')), {n})"
+    word, listed = (x.replace(chr(92), chr(92) * 2) for x in (CONTEXT[kind], _LISTED))
+    codes = f"""array_join(transform({m}, (x, i) -> case when lower(concat({before}, ' ', {after})) rlike '{word}' then 'L'
+        when i > 0 and length(element_at({g}, i + 1)) <= {n} and lower(element_at({g}, i + 1)) rlike '{listed}' then 'a' else 'n' end), '')"""
+    carried = F.split(F.regexp_replace(F.expr(codes), r"(?:(?<=L)|(?!^)\G)a", "L"), "")
+    return df.withColumns(sides).withColumn(out, fenced(carried)).drop(*sides)
+
+
 def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
     """Add ``out_col``: array<struct<start, ord, kind, end, score, base>> sorted by start, then kind.
 
@@ -118,10 +140,11 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans"
     df = df.withColumns(steps)
     starts = {f"__pii_p_{k}": F.expr(f"zip_with({_running(f'__pii_s_{k}')}, slice(__pii_g_{k}, 1, size(__pii_m_{k})), (c, g) -> c + length(g))") for k in KINDS}
     df = df.withColumns(starts)
+    for k in KINDS:
+        df = _told(df, k, f"__pii_m_{k}", f"__pii_g_{k}", f"__pii_t_{k}")
     parts = []
     for i, k in enumerate(KINDS):
-        near = f"concat(right(element_at(__pii_g_{k}, i + 1), {CONTEXT_CHARS}), ' ', left(element_at(__pii_g_{k}, i + 2), {CONTEXT_CHARS}))"
-        score = f"round({SCORES[k]} + if(lower({near}) rlike '{CONTEXT[k].replace(chr(92), chr(92) * 2)}', {CONTEXT_BONUS}, 0.0), 2)"
+        score = f"round({SCORES[k]} + if(element_at(__pii_t_{k}, i + 1) = 'L', {CONTEXT_BONUS}, 0.0), 2)"
         least = "" if k in BASE_KINDS else f" and s.score >= {MIN_SCORE}"
         parts.append(f"""transform(filter(transform(__pii_m_{k}, (x, i) -> named_struct(
             'start', element_at(__pii_p_{k}, i + 1), 'ord', {i}, 'kind', '{k}', 'end', element_at(__pii_p_{k}, i + 1) + length(x),
@@ -140,13 +163,14 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__pii_t", F.col(f"`{text_col}`"))
     for k in KINDS:
         t = F.col("__pii_t")
-        near = f"concat(right(g, {CONTEXT_CHARS}), ' ', left(coalesce(try_element_at(__pii_g, i + 2), ''), {CONTEXT_CHARS}))"
-        keep = "true" if k in BASE_KINDS else f"{SCORES[k]} + if(lower({near}) rlike '{CONTEXT[k].replace(chr(92), chr(92) * 2)}', {CONTEXT_BONUS}, 0.0) >= {MIN_SCORE}"
+        keep = "true" if k in BASE_KINDS else f"{SCORES[k]} + if(element_at(__pii_l, i + 1) = 'L', {CONTEXT_BONUS}, 0.0) >= {MIN_SCORE}"
         df = df.withColumn("__pii_k", _marked(t, k)).withColumn("__pii_m", F.when(_hint(k, t), F.regexp_extract_all("__pii_k", F.lit(PATTERNS[k]), F.lit(0))))
         df = df.withColumn("__pii_g", F.when(F.size("__pii_m") > 0, F.split("__pii_k", PATTERNS[k], -1)))
+        if k not in BASE_KINDS:
+            df = _told(df, k, "__pii_m", "__pii_g", "__pii_l")
         joined = F.expr(f"""array_join(transform(__pii_g, (g, i) -> concat(g, array_join(transform(filter(array(try_element_at(__pii_m, i + 1)), x -> x is not null),
             x -> if({_VALID[k]} and {keep}, '<{k.upper()}>', x)), ''))), '')""")
-        df = df.withColumn("__pii_t", fenced(F.when(F.size("__pii_m") > 0, F.translate(joined, MARKS, " -.")).otherwise(t))).drop("__pii_k", "__pii_m", "__pii_g")
+        df = df.withColumn("__pii_t", fenced(F.when(F.size("__pii_m") > 0, F.translate(joined, MARKS, " -.")).otherwise(t))).drop("__pii_k", "__pii_m", "__pii_g", "__pii_l")
     return df.withColumn(text_col, F.col("__pii_t")).select(*[F.col(f"`{c}`") for c in cols])
 
 

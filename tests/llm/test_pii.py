@@ -76,3 +76,11 @@ def test_redact_keeps_rows_columns_and_nulls(spark):
 
 def test_empty_table(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_items_of_a_list_share_its_context(spark):
+    numbers = [f"{200 + i}-45-6{i:03d}" for i in range(30)]
+    texts = ["Social security numbers: 123-45-6789, 234-56-7891, 345-67-8912", "ssn: " + "; ".join(numbers[:-1]) + " and " + numbers[-1], "ssn 123-45-6789 was reissued to 234-56-7891", "no 123-45-6789, 234-56-7891", "ssn 123-45-6789. " + "much later text " * 4 + "234-56-7891, 345-67-8912", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_ssn for r in pii.digest(df).collect()} == {0: 3, 1: 30, 2: 2, 3: 0, 4: 1, 5: 0}
+    assert {r.doc_id: (r.text or "").count("<SSN>") for r in pii.redact(df).collect()} == {0: 3, 1: 30, 2: 2, 3: 0, 4: 1, 5: 0}
