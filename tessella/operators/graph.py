@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import url as U
+from tessella.shared import use_shared_checkpoints
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -15,8 +16,7 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     checkpointed to the shared folder where the session names one.
     """
     spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    use_shared_checkpoints(spark)
     seen = frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         frontier = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
@@ -29,8 +29,7 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 def best_first(edges: DataFrame, seeds: DataFrame, scores: DataFrame, budget: int, batch: int = 10) -> DataFrame:
     """(node, step): repeatedly visit the ``batch`` best unvisited nodes of the frontier, at most ``budget`` in all."""
     spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    use_shared_checkpoints(spark)
     visited, frontier, step = None, seeds.select("node").distinct(), 0
     while step * batch < budget:
         take = frontier.join(scores, "node", "left").orderBy(F.desc_nulls_last("score"), "node").limit(min(batch, budget - step * batch)).select("node", F.lit(step).alias("step")).checkpoint()

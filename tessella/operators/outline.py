@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tessella.operators.blocks import STOP
 
 _HEADING = r"(?m)^(#{1,6})[ \t]+([^\n]+)$"
+from tessella.shared import use_shared_checkpoints
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -123,8 +124,7 @@ def recovered(kept: DataFrame, margin: float = 0.1, threshold: float = 0.48) ->
 def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, cluster): connected components of pairs(a, b), by spreading the least label; checkpointed each round."""
     spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    use_shared_checkpoints(spark)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct()
     label = both.select(F.col("x").alias("node")).distinct().withColumn("cluster", F.col("node"))
     for _ in range(rounds):
