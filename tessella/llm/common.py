@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SHARED_DIR = "file:///tmp/checkpoints/tessella"
+from tessella.shared import shared_dir
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fenced(value: Column) -> Column:
@@ -28,12 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or LOCAL_SHARED_DIR).rstrip("/")
-
-
 def staged(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -42,7 +35,12 @@ def staged(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # shuffle files serve this write alone
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -93,16 +91,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that are staged and no longer referenced."""
-    for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works beside us
-
-
-#: Further turns of stars before members of different components are compared pair by pair.
-STAR_TURNS = 2
+#: Turns of stars, each around fresh centers, before members of different components are compared pair by pair.
+STAR_TURNS = 3
 
 
 def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -114,36 +104,52 @@ def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame],
     are similar enough, so it can fetch what it compares once. Returns (node, root) as :func:`components` does.
 
     Buckets are never gathered: each member is compared with its bucket's
-    smallest id (a partially aggregated minimum and a join that adaptive
-    execution can split). Where that leaves a bucket in several components,
-    STAR_TURNS more members serve as centers; what is then still apart is
-    compared pair by pair, members of different components only, so no link
-    between components is lost.
+    center (a partially aggregated extreme and a join that adaptive execution
+    can split). The center is the member with most bucket mates over all its
+    bands, the one closest to the others as far as bands tell, so a group of
+    copies of one text gathers around that text. Where that leaves a bucket in
+    several components, fresh centers serve, STAR_TURNS turns at most, for the
+    members of other components; what is then still apart is compared pair by
+    pair, members of different components only, so no link is lost.
     """
     spark = bands.sparkSession
-    ends = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    members = staged(bands.join(ends, "bucket"), "members", spark)
-    release(spark)
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(bands.join(sizes, "bucket"), "shared", spark)
+    # Mates over all bands; the fraction tells ids of equal numbers apart.
+    mates = shared.groupBy("id").agg(F.sum("n").alias("mates")).select("id", (F.col("mates") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)).alias("rank"))
+    members = staged(shared.drop("n").join(mates, "id"), "members", spark)
+    forget(shared)
     verify = checker(members.select("id").distinct())
-    release(spark)
-    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    good = staged(verify(stars).select("a", "b"), "links", spark)
+
+    def stars(rows: DataFrame, other: str) -> DataFrame:
+        """Each bucket's center with the members for which ``other`` holds, as pairs."""
+        centers = rows.groupBy("bucket").agg(F.max_by("id", "rank").alias("center"), F.max("rank").alias("top"), *([F.max_by("root", "rank").alias("center_root")] if "root" in rows.columns else []))
+        pairs = rows.join(centers, "bucket").where(other)
+        return pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+
+    good = staged(verify(stars(members, "id <> center")).select("a", "b"), "links", spark)
     found = components(good)
-    for turn in range(STAR_TURNS + 1):
-        of = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "first", F.coalesce("root", "id").alias("root")).distinct()
-        torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket", "hi")
-        torn_members = staged(of.join(torn, "bucket").where("id <> first"), "torn", spark)
-        if turn == STAR_TURNS or torn_members.isEmpty():
+    # What a center has been compared with needs no further look at it, so it leaves its bucket.
+    left = members
+    for turn in range(STAR_TURNS):
+        top = left.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).where("n > 2").drop("n")
+        active = left.join(top, "bucket").where("rank < top").drop("top")
+        of = active.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "id", "rank", F.coalesce("root", "id").alias("root"))
+        torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        torn_members = staged(of.join(torn, "bucket"), "torn", spark)
+        if left is not members:
+            forget(left)
+        left = torn_members
+        if turn == STAR_TURNS - 1 or torn_members.isEmpty():
             break
-        # Another turn of stars, around a member of another component: large components mostly join here.
-        centers = torn_members.where("root = hi").groupBy("bucket").agg(F.min("id").alias("b"))
-        stars = torn_members.where("root <> hi").join(centers, "bucket").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        news = staged(verify(stars).select("a", "b"), "links", spark)
-        forget(torn_members)
-        if news.isEmpty():
-            continue
-        good = staged(good.union(news).distinct(), "links", spark)
-        found = components(good)
+        news = staged(verify(stars(torn_members, "root <> center_root")).select("a", "b"), "links", spark)
+        if not news.isEmpty():
+            more = staged(good.union(news).distinct(), "links", spark)
+            forget(good)
+            good, found = more, components(more)
+        forget(news)
+        left = torn_members.drop("root")
+        left.staged_at = torn_members.staged_at
     x, y = torn_members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), torn_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()
     more = staged(verify(rest).select("a", "b"), "links", spark)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import link, release, staged
+from tessella.llm.common import link, staged
 from tessella.llm.textbytes import LETTERS, buffers, mix, word_hashes
 
 WORDS = 5
@@ -196,7 +196,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Equal names have equal bands, so the bands can be part of the key.
     groups = signed.where("h1 is not null and id is not null").groupBy("h1", "h2", "bands").agg(F.min("id").alias("rep"))
     groups = staged(groups, "groups", spark)
-    release(spark)
 
     def checker(ids: DataFrame):
         texts = base.join(ids, "id", "left_semi").mapInArrow(_slot_texts, "id long, h1 long, h2 long, slots binary")

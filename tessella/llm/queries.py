@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import balltree, lines, minhash, nbest, packing, pii, quality, tokenfile, toxicity, warc
-from tessella.llm.common import shared_dir, table
+from tessella.llm.common import table
+from tessella.shared import shared_dir
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.classify(table(spark, sf_dir, "documents"), min_words=1)
+    return lines.classify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
