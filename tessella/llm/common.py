@@ -13,6 +13,17 @@ from tessella.shared import shared_dir
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker between tasks. Asking for it empties what other operators left."""
+    for other, held in _CACHES.items():
+        if other != owner:
+            held.clear()
+    return _CACHES.setdefault(owner, {})
+
+
 def fenced(value: Column) -> Column:
     """``value``, computed where it is written.
 

@@ -8,12 +8,15 @@ that starts empty in every block and learns row by row:
   before, with a confidence that grows while it is right;
 * order 0: frequencies of all ids seen so far in the block.
 
-For an id, a first binary decision says whether the order-2 prediction is
-right, a second whether the order-1 prediction is; their probabilities are
-logistic mixtures of what all three orders say, with weights that learn. Ids
-that neither predicts are coded with the order-0 frequencies. Decisions drive a
-carry-less range coder with a 64-bit state per lane. The arithmetic is
-integral, so any machine decodes what another wrote.
+The confidences, whether the two guesses agree, and how frequent each guess is
+make up one of a fixed number of situations. For each of them, logistic
+mixtures of what all three orders say, with weights that learn, give the
+probabilities that the order-2 guess, the order-1 guess, or neither is right:
+the mixing is done once a row for all situations, and lanes look theirs up.
+Ids that neither predicts are coded with the order-0 frequencies. Both
+decisions drive a carry-less range coder with a 64-bit state per lane; totals
+are powers of two. The arithmetic is integral, so any machine decodes what
+another wrote.
 """
 
 from __future__ import annotations
@@ -25,17 +28,26 @@ import zlib
 import numpy as np
 
 _U = np.uint64
-MAGIC = b"TIDB"
+MAGIC = b"TIDC"
 #: Ids of a block, lanes at most, and ids of a lane at least.
-BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 18, 2048, 128
+BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 19, 4096, 128
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, crc32 of the ids, bytes of payload
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
-_ORDER0_TOTAL = 1 << 22
+_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
+_ORDER0_BITS, _PROB_BITS = 22, 12
 _CONTEXTS = 1 << 18
-_PROB = 4096
+_PROB = 1 << _PROB_BITS
+_S0, _S1, _W = _U(_ORDER0_BITS), _U(_PROB_BITS), _U(48)
 #: Logit in 1/256 of each probability in 1/4096, and back (index: logit + 2047).
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (_PROB - p - 0.5))))) for p in range(_PROB)], dtype=np.int64)
 SQUASH = np.array([max(1, min(_PROB - 1, int(_PROB / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
+#: How frequent a guess is: classes by order-0 probability, their bounds in 1/2**22, and a typical probability in 1/4096.
+_CLASS_BOUNDS, _CLASS_LOGIT = np.array([1 << 8, 1 << 11, 1 << 14]), STRETCH[[0, 1, 6, 64]]
+#: Situations: confidence of order 2 and 1 (8 each), whether they agree (2), class of either guess (4 each).
+_N = 8 * 8 * 2 * 4 * 4
+_AT = np.arange(_N)
+_SURE2, _SURE1, _SAME, _CLASS2, _CLASS1 = _AT & 7, _AT >> 3 & 7, _AT >> 6 & 1, _AT >> 7 & 3, _AT >> 9 & 3
+_SEL2, _SEL1 = _SURE2 + 8 * _SAME, _SURE1 + 8 * (_SURE2 > 0)
+_APPLIES2, _APPLIES1 = _SURE2 > 0, (_SURE1 > 0) & (_SAME == 0)
 
 
 class _Model:
@@ -54,60 +66,57 @@ class _Model:
 
     def _rebuild(self) -> None:
         total = max(1, int(self.counts.sum()))
-        f = 1 + self.counts * (_ORDER0_TOTAL - self.v) // total
+        f = 1 + self.counts * ((1 << _ORDER0_BITS) - self.v) // total
+        f[int(np.argmax(self.counts))] += (1 << _ORDER0_BITS) - int(f.sum())
         self.cum = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(f)))
-        self.ucum = self.cum.astype(_U)
+        self.start, self.size = self.cum[:-1].astype(_U), f.astype(_U)
+        self.classes = np.searchsorted(_CLASS_BOUNDS, f, side="right") << 7
 
     def look(self, p2: np.ndarray, p1: np.ndarray) -> None:
-        """Predictions for a row of lanes with the ids before."""
+        """Guesses and situations of a row of lanes with the ids before, and the bounds of each outcome in every situation."""
         self.c2 = (p2 * 0x9E3779B1 + p1 * 0x85EBCA6B >> 7) & (_CONTEXTS - 1)
         self.c1 = p1
         self.g2, self.s2 = self.next2[self.c2], self.sure2[self.c2]
         self.g1, self.s1 = self.next1[p1], self.sure1[p1]
-        self.same = (self.g1 == self.g2) & (self.g2 >= 0)
+        # Where there is no guess its class is that of the last id, in coding and decoding alike.
+        self.at = self.s2 | self.s1 << 3 | (self.g1 == self.g2).astype(np.int64) << 6 | self.classes[self.g2] | self.classes[self.g1] << 2
+        other = [np.where(_SAME == 1, STRETCH[self.right[1][_SURE1]], 0), np.where(_SURE2 > 0, STRETCH[self.right[0][_SURE2]], 0)]
+        self.inputs, chances = [], []
+        for k, (sel, applies, logit) in enumerate(((_SEL2, _APPLIES2, _CLASS_LOGIT[_CLASS2]), (_SEL1, _APPLIES1, _CLASS_LOGIT[_CLASS1]))):
+            x = (STRETCH[self.right[k][sel]], other[k], logit)
+            w = self.weights[k][sel]
+            dot = (w[:, 0] * x[0] + w[:, 1] * x[1] + w[:, 2] * x[2]) >> 15
+            self.inputs.append(x)
+            chances.append(np.where(applies, np.minimum(SQUASH[np.clip(dot, -2047, 2047) + 2047], _PROB - 3), 0))
+        self.p = chances
+        two = chances[0]
+        one = np.where(_APPLIES1, np.maximum(1, np.minimum((_PROB - two) * chances[1] >> _PROB_BITS, _PROB - two - 1)), 0)
+        bounds = np.stack([np.zeros(_N, dtype=np.int64), two, two + one, np.full(_N, _PROB)])
+        self.bounds = bounds.astype(_U)
 
-    def _order0(self, guess: np.ndarray) -> np.ndarray:
-        g = np.maximum(guess, 0)
-        p = (self.cum[g + 1] - self.cum[g]) * _PROB // int(self.cum[-1])
-        return STRETCH[np.minimum(p, _PROB - 1)]
-
-    def odds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(applies, probability) of decision k: 0, the order-2 guess is right; 1, the order-1 guess is."""
-        if k == 0:
-            applies = self.g2 >= 0
-            self.sel = np.minimum(self.s2, 7) + 8 * self.same
-            other = np.where(self.same, STRETCH[self.right[1][np.minimum(self.s1, 7)]], 0)
-            guess = self.g2
-        else:
-            applies = (self.g1 >= 0) & ~self.same
-            self.sel = np.minimum(self.s1, 7) + 8 * (self.g2 >= 0)
-            other = np.where(self.g2 >= 0, STRETCH[self.right[0][np.minimum(self.s2, 7)]], 0)
-            guess = self.g1
-        self.inputs = (STRETCH[self.right[k][self.sel]], other, self._order0(guess))
-        w = self.weights[k][self.sel]
-        dot = (w[:, 0] * self.inputs[0] + w[:, 1] * self.inputs[1] + w[:, 2] * self.inputs[2]) >> 15
-        return applies, SQUASH[np.clip(dot, -2047, 2047) + 2047]
-
-    def learn(self, k: int, applies: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
-        sel = self.sel[applies]
-        if not len(sel):
-            return
-        n = np.bincount(sel, minlength=16)
-        seen = np.flatnonzero(n)
-        rate = np.minimum(n[seen], 64)
-        y = hit[applies].astype(np.int64)
-        mean = np.bincount(sel, weights=y, minlength=16).astype(np.int64)[seen] * (_PROB - 1) // n[seen]
-        self.right[k][seen] = np.clip(self.right[k][seen] + (mean - self.right[k][seen]) * rate // 128, 32, _PROB - 32)
-        error = y * _PROB - p[applies]
-        for i, x in enumerate(self.inputs):
-            step = np.bincount(sel, weights=error * x[applies], minlength=16).astype(np.int64)[seen] // n[seen]
-            self.weights[k][seen, i] += (step * rate) >> 14
+    def learn(self, outcome: np.ndarray) -> None:
+        """From the outcome of every lane: 0, the order-2 guess is right; 1, the order-1 guess is; 2, neither."""
+        n3 = np.bincount(self.at * 3 + outcome, minlength=3 * _N).reshape(_N, 3)
+        for k, (sel, applies) in enumerate(((_SEL2, _APPLIES2), (_SEL1, _APPLIES1))):
+            n = np.where(applies, n3[:, k:].sum(1), 0)
+            hits = np.where(applies, n3[:, k], 0)
+            all_n = np.bincount(sel, weights=n, minlength=16).astype(np.int64)
+            seen = np.flatnonzero(all_n)
+            m = all_n[seen]
+            rate = np.minimum(m, 64)
+            mean = np.bincount(sel, weights=hits, minlength=16).astype(np.int64)[seen] * (_PROB - 1) // m
+            self.right[k][seen] = np.clip(self.right[k][seen] + (mean - self.right[k][seen]) * rate // 128, 32, _PROB - 32)
+            error = hits * _PROB - n * self.p[k]
+            for i, x in enumerate(self.inputs[k]):
+                step = np.bincount(sel, weights=error * x, minlength=16).astype(np.int64)[seen] // m
+                self.weights[k][seen, i] += (step * rate) >> 14
 
     def update(self, ids: np.ndarray) -> None:
         for table, sure, c, g, s in ((self.next2, self.sure2, self.c2, self.g2, self.s2), (self.next1, self.sure1, self.c1, self.g1, self.s1)):
             right = g == ids
-            table[c] = np.where(right | (s <= 1), ids, g)
-            sure[c] = np.where(right, np.minimum(s + 1, 7), np.where(s <= 1, 1, s >> 1))
+            weak = s <= 1
+            table[c] = np.where(weak, ids, g)
+            sure[c] = np.where(right, np.minimum(s + 1, 7), np.where(weak, 1, s >> 1))
         self.recent.append(ids)
         self.rows += 1
         if self.rows & (self.rows - 1) == 0 or self.rows % 16 == 0:
@@ -116,39 +125,41 @@ class _Model:
             self._rebuild()
 
 
+def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes whose leading 16 bits are decided, or whose range got short; ranges of the latter are cut in place."""
+    undecided = (low ^ (low + rng)) >= _TOP
+    go = np.flatnonzero(~undecided | (rng < _BOTTOM))
+    short = go[undecided[go]]
+    if len(short):
+        rng[short] = (_U(0) - low[short]) & (_BOTTOM - _U(1))
+    return go
+
+
 class _Writer:
     def __init__(self, lanes: int, rows: int):
         self.low = np.zeros(lanes, dtype=_U)
         self.range = np.full(lanes, 2**64 - 1, dtype=_U)
-        self.out = np.zeros((lanes, 8 * rows + 16), dtype=np.uint16)
+        self.out = np.zeros((lanes, 4 * rows + 16), dtype=np.uint16)
         self.at = np.zeros(lanes, dtype=np.int64)
 
-    def step(self, m: int, start, size, total) -> None:
-        low, rng = self.low[:m], self.range[:m]
-        r = rng // total
-        low += r * start
-        np.multiply(r, size, out=rng)
-        self.settle(m)
-
     def settle(self, m: int) -> None:
         low, rng = self.low[:m], self.range[:m]
-        go = np.arange(m)
+        go = _unsettled(low, rng)
         while len(go):
-            a, b = low[go], rng[go]
-            settled = (a ^ (a + b)) < _TOP
-            short = ~settled & (b < _BOTTOM)
-            if short.any():
-                rng[go[short]] = (_U(0) - a[short]) & (_BOTTOM - _U(1))
-            go = go[settled | short]
-            if len(go):
-                self.out[go, self.at[go]] = (low[go] >> _U(48)).astype(np.uint16)
-                self.at[go] += 1
-                low[go] <<= _U(16)
-                rng[go] <<= _U(16)
+            a, b, at = low[go], rng[go], self.at[go]
+            self.out[go, at] = (a >> _W).astype(np.uint16)
+            self.at[go] = at + 1
+            a <<= _U(16)
+            b <<= _U(16)
+            more = _unsettled(a, b)
+            low[go], rng[go] = a, b
+            go = go[more]
 
     def finish(self) -> tuple[np.ndarray, bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> _U(48)).astype(np.uint16)
+        # Any number from low on that lies within the range will do, whatever follows its first 32 bits.
+        self.low += _U(2**32 - 1)
+        for _ in range(2):
+            self.out[np.arange(len(self.at)), self.at] = (self.low >> _W).astype(np.uint16)
             self.at += 1
             self.low <<= _U(16)
         used = np.arange(self.out.shape[1]) < self.at[:, None]
@@ -165,35 +176,18 @@ class _Reader:
             self.code = (self.code << _U(16)) | self.words[self.at]
             self.at += 1
 
-    def peek(self, m: int, total) -> np.ndarray:
-        self.r = self.range[:m] // total
-        return np.minimum((self.code[:m] - self.low[:m]) // self.r, total - _U(1))
-
-    def step(self, m: int, start, size) -> None:
+    def settle(self, m: int) -> None:
         low, rng, code = self.low[:m], self.range[:m], self.code[:m]
-        low += self.r * start
-        np.multiply(self.r, size, out=rng)
-        go = np.arange(m)
+        go = _unsettled(low, rng)
         while len(go):
-            a, b = low[go], rng[go]
-            settled = (a ^ (a + b)) < _TOP
-            short = ~settled & (b < _BOTTOM)
-            if short.any():
-                rng[go[short]] = (_U(0) - a[short]) & (_BOTTOM - _U(1))
-            go = go[settled | short]
-            if len(go):
-                code[go] = (code[go] << _U(16)) | self.words[self.at[go]]
-                self.at[go] += 1
-                low[go] <<= _U(16)
-                rng[go] <<= _U(16)
-
-
-def _decision(applies: np.ndarray, p: np.ndarray, hit: np.ndarray):
-    """Interval of a binary decision; where it doesn't apply, the whole range."""
-    p = p.astype(_U)
-    start = np.where(applies & ~hit, p, _U(0))
-    size = np.where(applies, np.where(hit, p, _U(_PROB) - p), _U(1))
-    return start, size
+            a, b, at = low[go], rng[go], self.at[go]
+            code[go] = (code[go] << _U(16)) | self.words[at]
+            self.at[go] = at + 1
+            a <<= _U(16)
+            b <<= _U(16)
+            more = _unsettled(a, b)
+            low[go], rng[go] = a, b
+            go = go[more]
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -213,17 +207,19 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         m = -(-(n - r) // rows)
         x = grid[r, :m]
         model.look(p2[:m], p1[:m])
-        done = np.zeros(m, dtype=bool)
-        for k in (0, 1):
-            applies, p = model.odds(k)
-            applies &= ~done
-            hit = applies & ((model.g2 if k == 0 else model.g1) == x)
-            start, size = _decision(applies, p, hit)
-            coder.step(m, start, size, np.where(applies, _U(_PROB), _U(1)))
-            model.learn(k, applies, p, hit)
-            done |= hit
-        lo = np.where(done, _U(0), model.ucum[x])
-        coder.step(m, lo, np.where(done, _U(1), model.ucum[x + 1] - model.ucum[x]), np.where(done, _U(1), model.ucum[-1]))
+        outcome = np.where(model.g2 == x, 0, np.where(model.g1 == x, 1, 2))
+        low, rng = coder.low[:m], coder.range[:m]
+        start = model.bounds[outcome, model.at]
+        part = rng >> _S1
+        low += part * start
+        part *= model.bounds[outcome + 1, model.at] - start
+        miss = np.flatnonzero(outcome == 2)
+        tail = part[miss] >> _S0
+        low[miss] += tail * model.start[x[miss]]
+        part[miss] = tail * model.size[x[miss]]
+        rng[:] = part
+        coder.settle(m)
+        model.learn(outcome)
         model.update(x)
         p2, p1 = p1[:m], x
     lengths, payload = coder.finish()
@@ -247,26 +243,28 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         for r in range(rows):
             m = -(-(n - r) // rows)
             model.look(p2[:m], p1[:m])
-            done = np.zeros(m, dtype=bool)
-            x = np.zeros(m, dtype=np.int64)
-            for k in (0, 1):
-                applies, p = model.odds(k)
-                applies &= ~done
-                value = coder.peek(m, np.where(applies, _U(_PROB), _U(1)))
-                hit = applies & (value < p.astype(_U))
-                coder.step(m, *_decision(applies, p, hit))
-                model.learn(k, applies, p, hit)
-                x = np.where(hit, model.g2 if k == 0 else model.g1, x)
-                done |= hit
-            total = np.where(done, _U(1), model.ucum[-1])
-            value = coder.peek(m, total)
+            low, rng = coder.low[:m], coder.range[:m]
+            part = rng >> _S1
+            value = np.minimum((coder.code[:m] - low) // part, _U(_PROB - 1))
+            outcome = (value >= model.bounds[1, model.at]).astype(np.int64) + (value >= model.bounds[2, model.at])
+            start = model.bounds[outcome, model.at]
+            low += part * start
+            part *= model.bounds[outcome + 1, model.at] - start
+            x = np.where(outcome == 0, model.g2, model.g1)
+            miss = np.flatnonzero(outcome == 2)
+            tail = part[miss] >> _S0
+            value = np.minimum((coder.code[miss] - low[miss]) // tail, _U((1 << _ORDER0_BITS) - 1))
             found = np.searchsorted(model.cum, value.astype(np.int64), side="right") - 1
-            x = np.where(done, x, found)
-            coder.step(m, np.where(done, _U(0), model.ucum[x]), np.where(done, _U(1), model.ucum[x + 1] - model.ucum[x]))
+            x[miss] = found
+            low[miss] += tail * model.start[found]
+            part[miss] = tail * model.size[found]
+            rng[:] = part
+            coder.settle(m)
             grid[r, :m] = x
+            model.learn(outcome)
             model.update(x)
             p2, p1 = p1[:m], x
-    except IndexError as e:
+    except (IndexError, ZeroDivisionError) as e:
         raise ValueError("token block is damaged") from e
     ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:

@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 
 from tessella.llm.tokenize import tokenizer
 
-SEQUENCE, SEGMENTS, END_ID = 1024, 256, 0
+SEQUENCE, SEGMENTS, END_ID = 1024, 512, 0
 OPEN = 24
 BATCH_CHARS = 1 << 21
 
 
+#: Loss-bearing tokens between two places of an example whose tokens all, or none, bear loss.
+_SPANS = {True: lambda a, b: b - a, False: lambda a, b: 0}
+
+
 @dataclass
 class Packer:
     """Places examples one by one; ``emit(example, start, length, sequence, offset)`` learns where each piece went.
@@ -49,9 +53,9 @@ class Packer:
         self.pieces = []
         self.scale = 1.0 / np.asarray(self.limits, dtype=np.float64)
 
-    def add(self, example, tokens: int, loss: np.ndarray | None = None) -> None:
-        """Place an example; ``loss`` flags its loss-bearing tokens (None: all are)."""
-        loss_of = (lambda a, b: b - a) if loss is None else (lambda a, b: int(loss[a:b].sum()))
+    def add(self, example, tokens: int, loss: np.ndarray | bool = True) -> None:
+        """Place an example; ``loss`` flags its loss-bearing tokens, each or all alike."""
+        loss_of = _SPANS[loss] if isinstance(loss, bool) else (lambda a, b: int(loss[a:b].sum()))
         start, limit = 0, self.limits[0]
         while start < tokens:
             left = tokens - start
@@ -79,7 +83,7 @@ class Packer:
             if length == 0:
                 self._close(i)
                 continue
-            self.pieces[i].append((example, start, length))
+            self.pieces[i].append((example, start, length, loss_of))
             self.room[i] -= (length, 1, loss_of(start, start + length))
             start += length
             if self.room[i].min() == 0 and (self.room[i, 0] == 0 or self.room[i, 1] == 0):
@@ -97,7 +101,7 @@ class Packer:
 
     def _close(self, i: int) -> None:
         offset = 0
-        for example, start, length in self.pieces.pop(i):
+        for example, start, length, _ in self.pieces.pop(i):
             self.emit(example, start, length, self.next_sequence, offset)
             offset += length
         self.room = np.delete(self.room, i, 0)
@@ -111,20 +115,21 @@ class Packer:
             self.room = np.delete(self.room, last, 0)
             while loose and len(self.room):
                 i = int(np.argmax(np.where(self.room[:, 1] > 0, self.room[:, 0], -1)))
-                if self.room[i, 1] <= 0 or min(self.room[i, 0], self.room[i, 2]) <= 0:
+                if self.room[i, 1] <= 0 or self.room[i, 0] <= 0:
                     break
-                example, start, length = loose.pop()
-                take = min(length, int(self.room[i, 0]), int(self.room[i, 2]))
-                self.pieces[i].append((example, start, take))
-                self.room[i] -= (take, 1, take)
+                example, start, length, loss_of = loose.pop()
+                take = self._within(loss_of, start, min(length, int(self.room[i, 0])), int(self.room[i, 2]))
+                if take:
+                    self.pieces[i].append((example, start, take, loss_of))
+                    self.room[i] -= (take, 1, loss_of(start, start + take))
                 if take < length:
-                    loose.append((example, start + take, length - take))
-                if self.room[i, 0] == 0 or self.room[i, 1] == 0:
+                    loose.append((example, start + take, length - take, loss_of))
+                if not take or self.room[i, 0] == 0 or self.room[i, 1] == 0:
                     self._close(i)
             if loose:
-                used = sum(x[2] for x in loose)
+                used = sum(x[2] for x in loose), len(loose), sum(x[3](x[1], x[1] + x[2]) for x in loose)
                 self.pieces.append(loose)
-                self.room = np.vstack([self.room, (self.limits[0] - used, self.limits[1] - len(loose), self.limits[2] - used)])
+                self.room = np.vstack([self.room, np.subtract(self.limits, used)])
                 for i in range(len(self.room) - 2, -1, -1):
                     self._close(i)
                 break
@@ -135,15 +140,19 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, loss_col: str | None = None, limits: tuple[int, int, int] = (SEQUENCE, SEGMENTS, SEQUENCE), cuttable: bool = True) -> DataFrame:
     """One row per piece of a document in a packed sequence (columns of SCHEMA).
 
     Every document is tokenized whole (null: empty) and followed by ``end_id``;
-    each id lies in exactly one piece. A sequence holds at most SEQUENCE ids,
-    pieces lie in it without gaps from offset 0, and only the last sequence of
-    a task may be short. Sequence ids are unique and, for the same input
+    each id lies in exactly one piece. ``limits``: tokens, segments and
+    loss-bearing tokens of a sequence; pieces lie in it without gaps from offset
+    0. ``loss_col`` names a boolean column that says whether a row's ids bear
+    loss, as the assistant's turns do in instruction data (null: they don't);
+    without it all do. Unless ``cuttable``, only rows longer than a sequence or
+    its loss limit are cut. Sequence ids are unique and, for the same input
     splits, always the same. Rows that repeat an id are packed each; null ids
-    stay null; an empty table gives no rows. All tokens bear loss here.
+    stay null; an empty table gives no rows. With the limits of this module,
+    padding stays small unless most documents have fewer than two tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,22 +168,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        packer = Packer(emit, next_sequence=TaskContext.get().partitionId() << 36)
+        packer = Packer(emit, limits, cuttable, next_sequence=TaskContext.get().partitionId() << 36)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            keys, texts, bears = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             at = 0
             while at < len(keys):
                 part, size = [], 0
                 while at + len(part) < len(keys) and (not part or size < BATCH_CHARS):
                     part.append(texts[at + len(part)].as_py() or "")
                     size += len(part[-1])
-                for key, ids in zip(keys[at : at + len(part)], t.encode(part), strict=True):
-                    packer.add((key, np.concatenate((ids, end))), len(ids) + 1)
+                for key, ids, loss in zip(keys[at : at + len(part)], t.encode(part), bears[at : at + len(part)], strict=True):
+                    packer.add((key, np.concatenate((ids, end))), len(ids) + 1, loss)
                 at += len(part)
                 if out:
                     yield rows()
         packer.finish()
         yield rows()
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    loss = f"coalesce(`{loss_col}`, false)" if loss_col else "true"
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text", f"{loss} as loss").mapInArrow(run, SCHEMA)

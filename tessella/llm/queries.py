@@ -50,7 +50,7 @@ def op3_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.encode_documents(table(spark, sf_dir, "documents"), _vocabulary_file("piece_bpe_32k.model"))
+    return nbest.encode_documents(table(spark, sf_dir, "documents"), _vocabulary_file("piece_bpe_32k.model"), n=2).drop("ids")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 The library's pre-tokenizers cut a text into words that are encoded apart, so a
 text's ids are its words' ids in a row. Texts made of common Latin characters
-alone are cut here by the same expression; each distinct word goes to the
-library once per worker (the memory is bounded). Any other text goes to the
-library whole. Both ways give the library's ids.
+alone are cut here by the same expression; distinct words go to the library
+once per worker (the memory is bounded), many in one text, whose ids are cut
+where words end. Any other text goes to the library whole. Both ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -15,59 +15,82 @@ from itertools import chain
 
 import numpy as np
 
+from tessella.llm.common import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SAFE = re.compile(f"[\\t\\n\\r\\x20-\\x7e{_LETTERS}¿¡«»’‘“”–—…€]*")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _CUTS = {
-    "byte_bpe_50k.json": (rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+", False),
-    "word_bpe_49k.json": (rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+", True),
+    "byte_bpe_50k.json": (rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+", False, "\n"),
+    "word_bpe_49k.json": (rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+", True, " "),
 }
-#: Words remembered by a worker before it starts afresh; it affects speed only.
-MEMORY_WORDS = 500_000
+#: Bytes of words and ids that a worker remembers before it starts afresh, and what an entry takes besides them; they affect speed only.
+MEMORY_BYTES, ENTRY_BYTES = 160 << 20, 180
+#: New words go to the library in texts of so many.
+TOGETHER = 4096
 
 
 class WordTokenizer:
-    """``encode(texts)`` gives each text's ids as little-endian uint32 arrays, without special tokens.
+    """``encode(texts)`` gives each text's ids as little-endian uint32 arrays: those of the library's ``encode(text, add_special_tokens=False)``.
 
-    The strings of special tokens inside a text count as ordinary text. Null is
-    treated as empty.
+    A text that may hold an added token goes to the library whole. Null is treated as empty.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        cut, self.lower = _CUTS.get(os.path.basename(path), (None, False))
+        cut, self.lower, self.between = _CUTS.get(os.path.basename(path), (None, False, None))
         self.cut = cut and re.compile(cut).findall
+        self.added = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         self.memory: dict[str, bytes] = {}
+        self.held = 0
+        # Ids that end a word: those of pieces marked so, or the one id of what is put between words.
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        if self.between == " ":
+            self.ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
+        elif self.between is not None:
+            self.ends[self.library.encode(self.between, add_special_tokens=False).ids] = True
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed. Words are put into one text, apart, and its ids cut at their ends."""
+        ids = np.asarray(self.library.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids])
+        apart = self.between != " "  # what lies between has an id of its own
+        if len(last) + apart != len(words):
+            return [x.tobytes() for x in self._whole(words)]
+        packed = ids.tobytes()
+        begin = [0, *(4 * (last + 1)).tolist()]
+        end = [*(4 * last).tolist(), len(packed)] if apart else begin[1:]
+        return [packed[i:j] for i, j in zip(begin, end, strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
-        simple = [self.cut is not None and _SAFE.fullmatch(t) is not None for t in texts]
+        simple = [self.cut is not None and _SAFE.fullmatch(t) is not None and not any(x in t for x in self.added) for t in texts]
         words = [self.cut(t.lower() if self.lower else t) if s else [] for t, s in zip(texts, simple, strict=True)]
         new = list(set(chain.from_iterable(words)).difference(self.memory))
-        if len(self.memory) + len(new) > MEMORY_WORDS:
+        if self.held > MEMORY_BYTES:
             self.memory.clear()
+            self.held = 0
             new = list(set(chain.from_iterable(words)))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, ids in zip(part, self._whole(part), strict=True):
-                self.memory[w] = ids.tobytes()
+        for i in range(0, len(new), TOGETHER):
+            part = sorted(new[i : i + TOGETHER], key=str.isspace)
+            blank = sum(map(str.isspace, part))
+            found = (self._words(part[: len(part) - blank]) if len(part) > blank else []) + [x.tobytes() for x in self._whole(part[len(part) - blank :])]
+            self.memory.update(zip(part, found, strict=True))
+            self.held += sum(map(len, part)) + sum(map(len, found)) + ENTRY_BYTES * len(part)
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") if s else self._whole([t])[0] for t, w, s in zip(texts, words, simple, strict=True)]
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    loaded = worker_cache("tokenize")
+    if path not in loaded:
+        loaded[path] = WordTokenizer(path)
+    return loaded[path]
