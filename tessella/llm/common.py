@@ -115,57 +115,43 @@ def link(bands: DataFrame, checker: Callable[[DataFrame], Callable[[DataFrame],
     are similar enough, so it can fetch what it compares once. Returns (node, root) as :func:`components` does.
 
     Buckets are never gathered: each member is compared with its bucket's
-    center (a partially aggregated extreme and a join that adaptive execution
-    can split). The center is the member with most bucket mates over all its
-    bands, the one closest to the others as far as bands tell, so a group of
-    copies of one text gathers around that text. Where that leaves a bucket in
-    several components, fresh centers serve, STAR_TURNS turns at most, for the
-    members of other components; what is then still apart is compared pair by
-    pair, members of different components only, so no link is lost.
+    smallest id (a partially aggregated minimum and a join that adaptive
+    execution can split). Where that leaves a bucket in several components,
+    fresh centers serve, STAR_TURNS turns at most, for the members of other
+    components; what is then still apart is compared pair by pair, members of
+    different components only, so no link is lost.
     """
     spark = bands.sparkSession
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(bands.join(sizes, "bucket"), "shared", spark)
-    # Mates over all bands; the fraction tells ids of equal numbers apart.
-    mates = shared.groupBy("id").agg(F.sum("n").alias("mates")).select("id", (F.col("mates") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)).alias("rank"))
-    members = staged(shared.drop("n").join(mates, "id"), "members", spark)
-    forget(shared)
+    ends = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    members = staged(bands.join(ends, "bucket"), "members", spark)
     verify = checker(members.select("id").distinct())
-
-    def stars(rows: DataFrame, other: str) -> DataFrame:
-        """Each bucket's center with the members for which ``other`` holds, as pairs."""
-        centers = rows.groupBy("bucket").agg(F.max_by("id", "rank").alias("center"), F.max("rank").alias("top"), *([F.max_by("root", "rank").alias("center_root")] if "root" in rows.columns else []))
-        pairs = rows.join(centers, "bucket").where(other)
-        return pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
-
-    good = staged(verify(stars(members, "id <> center")).select("a", "b"), "links", spark)
+    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    good = staged(verify(stars).select("a", "b"), "links", spark)
     found = components(good)
     # What a center has been compared with needs no further look at it, so it leaves its bucket.
-    left = members
+    rest = members.where("id > first").drop("first")
+    left = None
     for turn in range(STAR_TURNS):
-        top = left.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).where("n > 2").drop("n")
-        active = left.join(top, "bucket").where("rank < top").drop("top")
-        of = active.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "id", "rank", F.coalesce("root", "id").alias("root"))
+        of = rest.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         torn = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        torn_members = staged(of.join(torn, "bucket"), "torn", spark)
-        if left is not members:
-            forget(left)
-        left = torn_members
-        if turn == STAR_TURNS - 1 or torn_members.isEmpty():
+        before, left = left, staged(of.join(torn, "bucket"), "torn", spark)
+        if before is not None:
+            forget(before)
+        if turn == STAR_TURNS - 1 or left.isEmpty():
             break
-        news = staged(verify(stars(torn_members, "root <> center_root")).select("a", "b"), "links", spark)
+        centers = left.groupBy("bucket").agg(F.min("id").alias("a"), F.min_by("root", "id").alias("center_root"))
+        around = left.join(centers, "bucket")
+        news = staged(verify(around.where("root <> center_root").select("a", F.col("id").alias("b")).distinct()).select("a", "b"), "links", spark)
         if not news.isEmpty():
             more = staged(good.union(news).distinct(), "links", spark)
             forget(good)
             good, found = more, components(more)
         forget(news)
-        left = torn_members.drop("root")
-        left.staged_at = torn_members.staged_at
-    x, y = torn_members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), torn_members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()
-    more = staged(verify(rest).select("a", "b"), "links", spark)
+        rest = around.where("id > a").select("bucket", "id")
+    x, y = left.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
+    more = staged(verify(x.join(y, "bucket").where("ra <> rb and a < b").select("a", "b").distinct()).select("a", "b"), "links", spark)
     if not more.isEmpty():
         found = components(good.union(more))
-    for table in (members, torn_members, good, more):
+    for table in (members, left, good, more):
         forget(table)
     return found

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import link, staged
+from tessella.llm.common import link, staged, worker_cache
 from tessella.llm.textbytes import LETTERS, buffers, mix, word_hashes
 
 WORDS = 5
@@ -144,6 +144,7 @@ def _names(slots: np.ndarray, doc: np.ndarray, n: int) -> list[pa.Array]:
 
 def _sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, h1, h2, bands): the name of the shingle counts and the bands of the signature."""
+    worker_cache("minhash")
     for whole in batches:
         for batch in _pieces(whole, "text"):
             slots, doc = shingle_slots(batch.column("text"))

@@ -9,12 +9,15 @@ to the records that differ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import staged
+
 #: Bytes of an offset range, children of an inner node, and records of a file.
 RANGE_BYTES, FANOUT, FILE_RECORDS = 1 << 16, 16, 2048
-MAX_LEVELS = 16
+_NO_FILE = -(2**62)
+_VERSION, _END = "WARC/1.0\r\n", "\r\n\r\n"
 
 
 def record(url: Column, body: Column) -> Column:
@@ -38,30 +41,43 @@ def leaves(records: DataFrame, id_col: str, record_col: str = "record") -> DataF
     return rows.select("file", "id", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"), "size", "hash")
 
 
-def tree(leaf_rows: DataFrame) -> list[DataFrame]:
-    """Levels of the tree, from offset ranges to one node per file and on to the root: (level, file, node, hash) each.
+def _shape(*sides: DataFrame) -> tuple[int, int, int]:
+    """Nodes of offset ranges in the largest file, first file, and number of files, over all replicas."""
+    both = sides[0]
+    for x in sides[1:]:
+        both = both.union(x)
+    most, last, first = both.agg(F.max("offset"), F.max("file"), F.min("file")).first()
+    return (most or 0) // RANGE_BYTES + 1, first or 0, (last or 0) - (first or 0) + 1
+
+
+def tree(leaf_rows: DataFrame, shape: tuple[int, int, int] | None = None) -> list[DataFrame]:
+    """Levels of the tree, from offset ranges to one node per file and on to the one root of the collection: (level, file, node, hash) each.
 
     Level 0 nodes hash the ordered leaves that begin in one range of offsets,
     with their offsets; upper nodes hash FANOUT neighbours. File roots become
     the children of collection nodes (file null). Groups are bounded by the
-    range and the fan-out.
+    range and the fan-out. With one ``shape`` trees of replicas have the same
+    levels, whatever a replica lacks.
     """
+    nodes, first, files = shape or _shape(leaf_rows)
+
     def fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "hash"))), lambda x: F.concat_ws(":", *[x[c].cast("string") for c in order], x["hash"])), ",")
         return df.groupBy(*keys).agg(F.sha2(joined, 256).alias("hash"))
 
-    level = fold(leaf_rows.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))), ["file", "node"], ["offset"])
+    def above(level: DataFrame) -> DataFrame:
+        return fold(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / F.lit(FANOUT))), ["file", "node"], ["child"])
+
+    level = staged(fold(leaf_rows.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))), ["file", "node"], ["offset"]), "ranges")
     levels = [level]
-    widest = leaf_rows.agg(F.max("offset"), F.max("file"), F.min("file")).first()
-    nodes = (widest[0] or 0) // RANGE_BYTES + 1
     while nodes > 1:
-        level = fold(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / F.lit(FANOUT))), ["file", "node"], ["child"])
+        level = above(level)
         levels.append(level)
         nodes = -(-nodes // FANOUT)
-    files = (widest[1] or 0) - (widest[2] or 0) + 1
-    level = level.select(F.lit(None).cast("long").alias("file"), (F.col("file") - F.lit(widest[2] or 0)).alias("node"), "hash")
+    level = staged(level.select(F.lit(None).cast("long").alias("file"), (F.col("file") - F.lit(first)).alias("node"), "hash"), "files")
+    levels.append(level)
     while files > 1:
-        level = fold(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / F.lit(FANOUT))), ["file", "node"], ["child"])
+        level = above(level)
         levels.append(level)
         files = -(-files // FANOUT)
     return [x.select(F.lit(i).alias("level"), "file", "node", "hash") for i, x in enumerate(levels)]
@@ -72,30 +88,73 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     (id, file, offset, size, expected, found): offset and size are those of the
     left replica, or of the right where the left lacks the record; ``expected``
-    or ``found`` is null where a replica lacks the record. Roots are compared
-    first; below, a level is joined with the mismatching nodes above it, so
-    equal branches are never opened. Replicas that agree give no rows.
+    or ``found`` is null where a replica lacks the record. The collection's
+    roots are compared first; a level is joined with the mismatching nodes
+    above it, so equal branches are never opened. Of records that share an id,
+    those with equal hashes go together and only the others count, one for one
+    in order of hash. Replicas that agree give no rows; an empty replica lacks all records.
     """
-    a, b = tree(left), tree(right)
+    spark = left.sparkSession
+    left, right = staged(left, "left", spark), staged(right, "right", spark)
+    shape = _shape(left, right)
+    a, b = tree(left, shape), tree(right, shape)
 
     def mismatches(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = x.drop("level"), y.drop("level").withColumnRenamed("hash", "other")
-        return x.join(y, ["file", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
-
-    if len(a) == len(b):
-        file_level = next((i for i in range(len(a)) if a[i].where("file is null").limit(1).count()), len(a)) - 1
-        open_nodes = mismatches(a[file_level], b[file_level])
-        for i in range(file_level - 1, -1, -1):
-            within = open_nodes.select("file", F.col("node").alias("parent"))
-            below = [t.withColumn("parent", F.floor(F.col("node") / F.lit(FANOUT))).join(within, ["file", "parent"], "left_semi").drop("parent") for t in (a[i], b[i])]
-            open_nodes = mismatches(*below)
-        keys = open_nodes.distinct()
-        x, y = (t.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))).join(keys, ["file", "node"], "left_semi").drop("node") for t in (left, right))
-    else:  # trees of unlike height: the files differ in size, so leaves are compared at once
-        x, y = left, right
-    y = y.select("file", "id", F.col("offset").alias("o2"), F.col("size").alias("s2"), F.col("hash").alias("found"))
-    both = x.withColumnRenamed("hash", "expected").join(y, ["file", "id"], "full")
-    return both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("id", "file", F.coalesce("offset", "o2").alias("offset"), F.coalesce("size", "s2").alias("size"), "expected", "found")
+        x, y = (t.select(F.coalesce("file", F.lit(_NO_FILE)).alias("file"), "node", "hash") for t in (x, y))
+        return x.join(y.withColumnRenamed("hash", "other"), ["file", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
+
+    # Nodes of the collection have no file; the lowest of its levels holds the files' roots.
+    first, collection = shape[1], _levels(shape[0])
+    nodes = mismatches(a[-1], b[-1])
+    for i in range(len(a) - 2, -1, -1):
+        if i + 1 == collection:
+            within, parent = nodes.select((F.col("node") + F.lit(first)).alias("file"), F.lit(0).cast("long").alias("parent")), F.lit(0).cast("long")
+        else:
+            within, parent = nodes.select("file", F.col("node").alias("parent")), F.floor(F.col("node") / F.lit(FANOUT))
+        below = [t.withColumn("file", F.coalesce("file", F.lit(_NO_FILE))).withColumn("parent", parent).join(within, ["file", "parent"], "left_semi").drop("parent") for t in (a[i], b[i])]
+        nodes = mismatches(*below)
+    keys = nodes.distinct()
+    x, y = (t.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))).join(keys, ["file", "node"], "left_semi").drop("node") for t in (left, right))
+    same = Window.partitionBy("file", "id", "hash").orderBy("offset")
+    x, y = (t.withColumn("nth", F.row_number().over(same)) for t in (x, y))
+    y = y.select("file", "id", "hash", "nth", F.col("offset").alias("o2"), F.col("size").alias("s2"))
+    alone = staged(x.join(y, ["file", "id", "hash", "nth"], "full").where("size is null or s2 is null"), "alone", spark)
+    turn = Window.partitionBy("file", "id").orderBy("hash", "nth")
+    lacking, extra = alone.where("s2 is null").withColumn("turn", F.row_number().over(turn)), alone.where("size is null").withColumn("turn", F.row_number().over(turn))
+    lacking = lacking.select("file", "id", "turn", F.col("hash").alias("expected"), "offset", "size")
+    both = lacking.join(extra.select("file", "id", "turn", F.col("hash").alias("found"), "o2", "s2"), ["file", "id", "turn"], "full")
+    return both.select("id", "file", F.coalesce("offset", "o2").alias("offset"), F.coalesce("size", "s2").alias("size"), "expected", "found")
+
+
+def _levels(nodes: int) -> int:
+    """Levels of a file's tree over so many offset ranges."""
+    n = 1
+    while nodes > 1:
+        nodes, n = -(-nodes // FANOUT), n + 1
+    return n
+
+
+def write_files(records: DataFrame, path: str, record_col: str = "record") -> None:
+    """Write records from :func:`record` as gzipped WARC files, one per partition; null records are left out."""
+    record = F.col(f"`{record_col}`")
+    body = F.left(record, F.length(record) - 4)  # the line separator closes a record
+    records.where(record.isNotNull()).select(body.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(url, type, size, body, whole, record) of the records of WARC files, gzipped or plain.
+
+    ``whole`` says that the body has the length its header declares: records
+    that were cut, or whose body itself holds a version line, are not whole.
+    Splitting at version lines keeps one record in memory, not one file.
+    """
+    rows = spark.read.option("lineSep", _VERSION).text(path).where(F.length("value") > 0)
+    head, rest = F.substring_index("value", _END, 1), F.substr("value", F.instr("value", _END) + 4)
+    named = lambda n: F.trim(F.regexp_extract(head, rf"(?im)^{n}:([^\r\n]*)", 1))
+    rows = rows.select(named("WARC-Target-URI").alias("url"), named("WARC-Type").alias("type"), named("Content-Length").try_cast("long").alias("size"), rest.alias("rest"), F.concat(F.lit(_VERSION), "value").alias("record"))
+    ended = F.col("rest").endswith(_END)
+    rows = rows.withColumn("body", F.when(ended, F.left("rest", F.length("rest") - 4)).otherwise(F.col("rest")))
+    return rows.select("url", "type", "size", "body", F.coalesce((F.octet_length("body") == F.col("size")) & ended, F.lit(False)).alias("whole"), "record")
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:

@@ -31,3 +31,22 @@ def test_empty_and_unlike_heights(spark):
     some = leaf(pages(spark, [(i, "u", "b" * 3000) for i in range(400)]))
     assert warc.audit(none, none).count() == 0
     assert warc.audit(none, some).count() == 400 == warc.audit(some, none).count()
+
+
+def test_records_that_share_an_id_count_one_for_one(spark):
+    """Repeated rows, one damaged record of two of an id, and clashing columns."""
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "c"), (2, "u", "c")]
+    for damaged, want in (([(1, "u", "a"), (1, "u", "x"), *rows[2:]], [1]), (rows[:3], [2]), (rows, [])):
+        sides = [pages(spark, r).withColumns({c: F.lit("x") for c in ("file", "node", "hash", "nth")}) for r in (rows, damaged)]
+        got = warc.audit(*map(leaf, sides)).collect()
+        assert [r.id for r in got] == want
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = [(1, "http://x/1", "line\n\r\n\r\nmore é"), (2, None, None), (3, "http://x/3", "long " * 100_000), (4, "http://x/4", "holds WARC/1.0\r\n itself")]
+    records = pages(spark, rows).select("url", "html", warc.record(F.col("url"), F.col("html")).alias("record"))
+    warc.write_files(records, f"{tmp_path}/w")
+    got = warc.read_files(spark, f"{tmp_path}/w").collect()
+    assert sorted((r.url, r.body) for r in got if r.whole) == sorted((u or "", h or "") for _, u, h in rows[:3])
+    assert {r.record for r in got if r.whole} == {r.record for r in records.collect()[:3]}
+    assert sum(not r.whole for r in got) == 2  # the two parts of the last
