@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import worker_cache
 from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, mix
 
 NGRAMS = (3, 4, 5)
@@ -197,10 +198,12 @@ def is_held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on at most MAX_TEXTS labelled texts of each class that are not held out; the sample is fixed by the ids."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
+    # A repeated id counts once, by the least of its texts.
+    first = docs.where("text is not null").select("doc_id", "text")
     rows = []
     for label, most in MAX_TEXTS.items():
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("doc_id", "text", "toxic").collect()
+        rows += first.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.toxic for r in rows])
 
@@ -211,6 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     effect, offset = model.effect.astype(np.float32), model.offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         m = Model(effect, offset)
         for batch in batches:
             texts = batch.column(names.index(text_col))

@@ -22,8 +22,8 @@ def test_held_out_accuracy_and_contract(spark):
     assert recall > 0.7 and specificity > 0.98  # a quarter of the toxic labels here are on texts without a telling word
 
 
-@pytest.mark.xfail(reason="known fault: on this small vocabulary, short clean texts score above 0.5; misspellings are found")
-def test_misspellings_share_vectors():
+@pytest.fixture(scope="module")
+def small_model():
     rng = random.Random(1)
     calm = ["the", "of", "river", "stone", "garden", "walk", "evening", "paper", "window", "music"]
     rude = ["horrible", "stinking", "worthless"]
@@ -34,9 +34,29 @@ def test_misspellings_share_vectors():
             words[rng.randrange(60)] = rng.choice(rude)
         texts.append(" ".join(words))
         labels.append(i % 2)
-    model = toxicity.train(texts, labels)
-    s = model.scores(pa.array(["you stinkingg paper", "such worthles music", "the river walk", None, "", "walk " * 20000]))
-    assert (s[:2] > 0.5).all() and (s[2:] < 0.5).all()
+    return toxicity.train(texts, labels)
+
+
+def test_misspellings_share_vectors(small_model):
+    assert (small_model.scores(pa.array(["you stinkingg paper", "such worthles music", "horible evening"])) > 0.5).all()
+
+
+@pytest.mark.xfail(reason="known fault: on this small vocabulary, short clean texts score above 0.5")
+def test_short_clean_texts_stay_below(small_model):
+    assert (small_model.scores(pa.array(["the river walk", "paper", "music of stone", "walk " * 20000])) < 0.5).all()
+
+
+def test_texts_without_words_stay_below(small_model):
+    assert (small_model.scores(pa.array([None, "", " \n "], pa.string())) < 0.5).all()
+
+
+def test_repeated_rows_count_once_in_training(spark):
+    """Equal rows, and rows of one id with other texts, score each; the model is that of the distinct ids."""
+    docs = spark.createDataFrame([(i, f"calm words number {i} " * 9 + ("horrible " if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 2 as int) as toxic")
+    again = toxicity.fit(docs.union(docs), labels)
+    assert (toxicity.fit(docs, labels).effect == again.effect).all()
+    assert toxicity.digest(docs.union(docs), labels).count() == 120
 
 
 def test_no_labels_and_clashing_columns(spark):
