@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing, html, text, url
-from tessella.operators import blocks, chunks, graph, outline, page, similarity, state
+from tessella.operators import blocks, chunks, graph, outline, page, similarity, state, tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -492,17 +492,17 @@ def schema_candidates(t):
     return outline.repeated_elements(t("pages"))
 
 
-@query("""select event_id, case when event_id % 3 = 0 then null else '{"a": ' || event_id || ', "b": [1, 2]}' end repaired from events where event_id < 200""")
+@query("""select event_id, case when event_id % 3 = 0 then null else '{"a": ' || event_id || ', "b": [1, 2]}' end repaired from events""")
 def json_repair(t):
     answer = F.when(F.col("event_id") % 3 == 0, "no json here").otherwise(F.concat(F.lit('Sure:\n```json\n{"a": '), F.col("event_id").cast("string"), F.lit(', "b": [1, 2],}\n```\nDone.')))
-    return t("events").where("event_id < 200").select("event_id", F.regexp_replace(outline.repair_json(answer), r"\s+$", "").alias("repaired"))
+    return t("events").select("event_id", F.regexp_replace(outline.repair_json(answer), r"\s+$", "").alias("repaired"))
 
 
-@query("select event_id, case when event_id % 2 = 0 then ['missing: name'] else ['not integer: age'] end errors from events where event_id < 100")
+@query("select event_id, case when event_id % 2 = 0 then ['missing: name'] else ['not integer: age'] end errors from events")
 def schema_validation(t):
     schema = {"properties": {"name": {"type": "string"}, "age": {"type": "integer"}}, "required": ["name"]}
     doc = F.when(F.col("event_id") % 2 == 0, '{"age": 3}').otherwise('{"name": "x", "age": "old"}')
-    return t("events").where("event_id < 100").select("event_id", outline.validation_errors(doc, schema).alias("errors"))
+    return t("events").select("event_id", outline.validation_errors(doc, schema).alias("errors"))
 
 
 @query()
@@ -515,12 +515,14 @@ def cosine_clusters(t):
     return outline.clusters(similarity.cosine_pairs(similarity.tfidf(t("benchmark").withColumnRenamed("item_id", "doc_id")), 0.2))
 
 
-@query("""with u as (select 'sitemap' source, url from pages where page_id % 2 = 0 union all select 'crawl', url from pages where page_id % 3 = 0)
-  select string_split(url, '#')[1] url, count(distinct source) n_sources from u group by 1 order by 1 limit 100""")
+@query("""with u as (select 'sitemap' source, url from pages where url is not null union all
+  select 'crawl', unnest(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["\'\']([^"\'\']*)["\'\']', 1), lambda x: x like 'http%')) from pages)
+  select string_split(url, '#')[1] url, count(distinct source) n_sources from u group by 1""".replace("\\\\", "\\"))
 def domain_discovery(t):
     p = t("pages")
-    u = p.where("page_id % 2 = 0").select(F.lit("sitemap").alias("source"), "url").union(p.where("page_id % 3 = 0").select(F.lit("crawl"), "url"))
-    return u.groupBy(url.remove_fragment("url").alias("url")).agg(F.count_distinct("source").alias("n_sources")).orderBy("url").limit(100)
+    linked = p.select(F.lit("crawl").alias("source"), F.explode(html.hrefs("html")).alias("url")).where("url like 'http%'")
+    u = p.where("url is not null").select(F.lit("sitemap").alias("source"), "url").union(linked)
+    return u.groupBy(url.remove_fragment("url").alias("url")).agg(F.count_distinct("source").alias("n_sources"))
 
 
 @query("""select item_id, round(list_sum(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)) * len(list_filter(w, lambda y: y = x)))), 6) self_dot from (
@@ -528,3 +530,88 @@ def domain_discovery(t):
 def term_count_norms(t):
     w = t("benchmark").select("item_id", F.explode(text.words(F.lower("text"))).alias("w")).groupBy("item_id", "w").count()
     return w.groupBy("item_id").agg(F.sum(F.col("count") * F.col("count")).cast("double").alias("self_dot"))
+
+
+@query(f"""with p as (select page_id, url, lower({_U.format(1)}) scheme, {_U.format(2)} auth, {_U.format(3)} path, {_U.format(4)} q from pages)
+  select page_id, scheme || '://' || auth || '/about?x=1' absolute, scheme || '://' || auth || case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end || 'guide' relative,
+    'https://other.org/x' other, lower(regexp_extract(path, '(\\.[^./]{{1,9}})$', 1)) in ({", ".join(f"'{x}'" for x in url.FILE_EXTENSIONS)}) is_file, true same_site, true equal_self,
+    regexp_matches(url, 'site[0-9]+') numbered from p""")
+def url_joins(t):
+    u = F.col("url")
+    return t("pages").select(
+        "page_id", url.join(u, F.lit("/about?x=1")).alias("absolute"), url.join(u, F.lit("guide")).alias("relative"), url.join(u, F.lit("https://other.org/x")).alias("other"), url.is_file(u).alias("is_file"),
+        url.same_domain(u, url.join(u, F.lit("/"))).alias("same_site"), url.equal(u, F.concat(u, F.lit("#top"))).alias("equal_self"), url.matches_regex(u, "site[0-9]+").alias("numbered"),
+    )
+
+
+@query("""select page_id, sha256(regexp_replace(trim(url), '/+$', '')) url_hash, url_decode(url_encode(url)) decoded, regexp_replace(url, '/', '  /  ', 'g') <> url spaced,
+  regexp_replace(regexp_replace(url, '/', '   /   ', 'g'), ' {2,}', ' ', 'g') collapsed, regexp_matches(url, '^(https?|ftp)://') is_url, 'utf-8' encoding, url same_bytes from pages""")
+def url_encodings(t):
+    u = F.col("url")
+    wide = F.replace(u, F.lit("/"), F.lit("   /   "))
+    return t("pages").select(
+        "page_id", hashing.hash_url(u).alias("url_hash"), url.decode(F.url_encode(u)).alias("decoded"), (wide != u).alias("spaced"), html.collapse_spaces(wide).alias("collapsed"), text.looks_like_url(u).alias("is_url"),
+        html.encoding(F.encode(u, "UTF-8")).alias("encoding"), html.decode_bytes(F.encode(u, "UTF-8")).alias("same_bytes"),
+    )
+
+
+@query("""select doc_id, nfc_normalize(text) composed, 1.0 self_cosine, text dedented, regexp_matches(text, '^(<!DOCTYPE|<html|<div|<p)') or contains(left(text, 500), '<html') looks_html from documents
+  where regexp_matches(text, '^[^\\s]') and regexp_matches(text, '[a-z]')""".replace("\\\\", "\\"))
+def text_forms(t):
+    d = t("documents").where(F.col("text").rlike(r"^\S") & F.col("text").rlike("[a-z]"))
+    return d.select("doc_id", text.normalize_unicode("text").alias("composed"), F.round(text.cosine("text", "text"), 6).alias("self_cosine"), F.substring(text.dedent(F.concat(F.lit("|"), "text")), 2, 2**31 - 1).alias("dedented"), text.looks_like_html("text").alias("looks_html"))
+
+
+@query(f"select doc_id, array_to_string(list_transform(list_filter(list_zip(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), lambda z: length(z[1]) < 10 or not regexp_matches(z[1], '{blocks.BOILERPLATE}')), lambda z: z[1]), chr(10) || chr(10)) kept from documents")
+def boilerplate_removed(t):
+    return t("documents").select("doc_id", tidy.without_boilerplate("text").alias("kept"))
+
+
+@query(f"with s as ({ORACLES['bm25_block_scores']}), r as (select doc_id, idx, score, row_number() over (partition by doc_id order by score desc, idx)::int rank from s where score > 0) select doc_id, rank, idx, score from r where rank <= 5")
+def bm25_top_blocks(t):
+    return tidy.top_blocks(blocks.bm25_scores(t("documents"), _QUERY))
+
+
+@query("""with d as (select doc_id, source from documents where source is not null)
+  select doc_id, doc_id % 7 number, 'https://site.org/' || source url, case when doc_id % 2 = 0 then source else '' end title from d""")
+def reference_definitions(t):
+    line = F.concat(F.lit("see [x].\n["), (F.col("doc_id") % 7).cast("string"), F.lit("]: https://site.org/"), "source", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(' "'), "source", F.lit('"'))).otherwise(""))
+    return tidy.numbered_references(t("documents").select("doc_id", line.alias("md")))
+
+
+@query("""with d as (select doc_id, source from documents where source is not null)
+  select doc_id, 0 idx, 'https://a.org/' || source url from d union all select doc_id, 1, 'http://b.org/' || doc_id from d""")
+def raw_addresses(t):
+    line = F.concat(F.lit("[in a link](https://no.org/x) but https://a.org/"), "source", F.lit(", then (http://b.org/"), F.col("doc_id").cast("string"), F.lit(")."))
+    return tidy.raw_urls(t("documents").select("doc_id", line.alias("md")))
+
+
+@query("select doc_id, 'n' || (doc_id % 3) as label, 'https://site.org/' || source url, 'A note on ' || source title from documents where source is not null")
+def footnote_links(t):
+    line = F.concat(F.lit("text[^n]\n[^n"), (F.col("doc_id") % 3).cast("string"), F.lit("]: A note on "), "source", F.lit(" https://site.org/"), "source")
+    return tidy.footnotes(t("documents").select("doc_id", line.alias("md"))).withColumn("title", F.trim("title"))
+
+
+@query("select ['always', 'daily', 'weekly'][(page_id % 4)::int] changefreq, count(*) n from pages where page_id % 4 in (1, 2, 3) group by 1")
+def sitemap_changefreq(t):
+    freq = F.element_at(F.array(F.lit(""), F.lit("Always"), F.lit("daily"), F.lit("WEEKLY")), (F.col("page_id") % 4 + 1).cast("int"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc><changefreq>"), freq, F.lit("</changefreq></url></urlset>"))
+    return tidy.changefreq_distribution(graph.sitemap_entries(t("pages").select(F.col("page_id").alias("source"), xml.alias("xml"))))
+
+
+@query("""with s as (select greatest(0, least(1, (1 + list_inner_product(embedding::double[], embedding::double[])) / 4)) score from embeddings where embedding is not null)
+  select case when score < 0.2 then '0.0-0.2' when score < 0.4 then '0.2-0.4' when score < 0.6 then '0.4-0.6' when score < 0.8 then '0.6-0.8' else '0.8-1.0' end bucket, count(*) n from s group by 1""")
+def score_histogram(t):
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return tidy.score_distribution(t("embeddings").where("embedding is not null").select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + norm) / 4)).alias("score")))
+
+
+@query("select event_id, case event_id % 4 when 0 then 3600 when 1 then 86400 when 2 then 1800 else 3600 end ttl, case event_id % 4 when 0 then 900 when 1 then 1800 else 3600 end format_ttl from events")
+def ttl_policies(t):
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 4 + 1).cast("int"))
+    return t("events").select("event_id", tidy.ttl_seconds(pick("page", "map", "search", "none")).alias("ttl"), tidy.ttl_seconds(pick("screenshot", "html", "json", "none"), by_format=True).alias("format_ttl"))
+
+
+@query()
+def circuit_breaker(t):
+    return tidy.circuit_breaker(t("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts", (F.col("event_id") % 3 != 0).alias("ok")))

@@ -49,3 +49,13 @@ def mask_email(c: Column) -> Column:
     local, host = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     masked = F.when(F.length(local) <= 2, F.concat(F.left(local, F.lit(1)), F.lit("***"))).otherwise(F.concat(F.left(local, F.lit(1)), F.lit("***"), F.right(local, F.lit(1))))
     return F.when(~c.contains("@"), c).otherwise(F.concat(masked, F.lit("@"), host))
+
+
+def hash_url(c: Column) -> Column:
+    """SHA-256 of a URL without surrounding blanks and trailing slashes."""
+    return F.sha2(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "/+$", ""), 256)
+
+
+def hmac_verify(c: Column, signature: Column, key: bytes) -> Column:
+    """Whether ``signature`` is the hex HMAC-SHA256 of ``c``; a null one is not."""
+    return F.coalesce(hmac_sha256(c, key) == signature, F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +26,22 @@ def strip_specific_tags(c, tags: list[str]) -> Column:
     return t
 
 
+_NUMERIC = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; an ampersand stays escaped for the named pass, what is no character is U+FFFD."""
+    n = F.when(code.startswith("x") | code.startswith("X"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+    good = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    return F.when(code.isNull(), None).when(n == 38, "&amp;").when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def decode_entities(c) -> Column:
-    """Named entities of common use; others stay."""
+    """Decimal and hexadecimal references, and named entities of common use; others stay. Nothing is decoded twice."""
     t = _html(c)
+    codes, gaps = F.regexp_extract_all(t, F.lit(_NUMERIC), F.lit(1)), F.split(t, _NUMERIC, -1)
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(_character(F.get(codes, i)), F.lit("")))), "")
+    t = F.when(t.rlike(_NUMERIC), joined).otherwise(t)
     for name, value in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(value))
     return t
@@ -102,3 +116,43 @@ def is_well_formed(c) -> Column:
     void = "|".join(sorted("wbr track source meta link input img hr embed col br base area".split()))
     names = lambda p: F.array_sort(F.transform(F.regexp_extract_all(without_hidden(c), F.lit(p), F.lit(1)), lambda x: F.lower(x)))
     return names(rf"(?i)<((?!(?:{void})\b)[a-z][a-z0-9]*)\b(?:[^>]*[^/>])?>") == names(rf"(?i)</((?!(?:{void})\b)[a-z][a-z0-9]*)\s*>")
+
+
+def collapse_spaces(c) -> Column:
+    return F.regexp_replace(_html(c), " {2,}", " ")
+
+
+def word_count(c) -> Column:
+    """Words of the visible text."""
+    return F.size(F.regexp_extract_all(extract_text(c), F.lit(r"\S+"), F.lit(0)))
+
+
+def char_count(c) -> Column:
+    """Characters of the visible text."""
+    return F.length(extract_text(c))
+
+
+def encoding(raw: Column | str) -> Column:
+    """Encoding of HTML bytes: byte order mark, else the charset that a tag in the first 4 KiB names, else utf-8 (null and empty too)."""
+    b = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit("").cast("binary"))
+    head = F.decode(F.substring(b, 1, 4096), "ISO-8859-1")
+    tag = F.regexp_extract(head, r"""(?i)<meta[^>]*charset=["']?([^"'\s;>]+)""", 1)
+    content = F.regexp_extract(head, r"""(?i)content=["'][^"']*charset=([^"'\s;]+)""", 1)
+    mark = F.hex(F.substring(b, 1, 3))
+    return F.when(mark == "EFBBBF", "utf-8").when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16").when(tag != "", tag).when(content != "", content).otherwise("utf-8")
+
+
+def decode_bytes(raw: Column | str) -> Column:
+    """HTML bytes as text by :func:`encoding`, unknown ones as utf-8; bytes that do not fit become U+FFFD."""
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series, names: pd.Series) -> pd.Series:
+        def one(b: bytes, name: str) -> str:
+            try:
+                return b.decode(name, errors="replace")
+            except LookupError:
+                return b.decode("utf-8", errors="replace")
+
+        return pd.Series([one(b, n) for b, n in zip(data, names, strict=True)], dtype=object)
+
+    return run(F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit("").cast("binary")), encoding(raw))

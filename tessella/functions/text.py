@@ -5,6 +5,7 @@ Null text counts as empty; counts are then 0 and strings empty.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,3 +164,72 @@ def readability(c: Column | str) -> Column:
     n, s = F.size(w), F.greatest(count_sentences(c), F.lit(1))
     ease = 206.835 - 1.015 * (n / s) - 84.6 * (syllables / F.greatest(n, F.lit(1)))
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)))
+
+
+def _arrow(f, *columns) -> Column:
+    """``f`` on the strings of Arrow batches, null as empty."""
+
+    @F.pandas_udf("string")
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*parts, strict=True)], dtype=object)
+
+    return run(*[_text(c) for c in columns])
+
+
+def normalize_unicode(c: Column | str, form: str = "NFC") -> Column:
+    import unicodedata
+
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"unknown normalization form: {form!r}")
+    return _arrow(lambda x: unicodedata.normalize(form, x), c)
+
+
+def remove_accents(c: Column | str) -> Column:
+    """Decomposed, without combining marks."""
+    return F.regexp_replace(normalize_unicode(c, "NFD"), r"\p{Mn}", "")
+
+
+def dedent(c: Column | str) -> Column:
+    """Without the white space that all lines begin with; blank lines become empty."""
+    from textwrap import dedent as strip
+
+    return _arrow(strip, c)
+
+
+def wrap(c: Column | str, width: int = 80) -> Column:
+    """Lines of at most ``width`` characters, broken at blanks where possible."""
+    from textwrap import fill
+
+    return _arrow(lambda x: fill(x, width=width), c)
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two texts' word counts; 0 where either has no words."""
+    import math
+    import re
+    from collections import Counter
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = (Counter(re.findall(r"\w+", z.lower())) for z in (p, q))
+            norm = math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
+            out.append(sum(v * q[k] for k, v in p.items()) / norm if norm else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return run(_text(a), _text(b))
+
+
+def looks_like_url(c: Column | str) -> Column:
+    return _text(c).rlike("^(?:https?|ftp)://")
+
+
+def looks_like_html(c: Column | str) -> Column:
+    t = F.regexp_replace(_text(c), r"^\s+", "")
+    return t.rlike("^<(?:!DOCTYPE|html|div|p)") | F.left(t, F.lit(500)).contains("<html")
+
+
+def looks_like_markdown(c: Column | str) -> Column:
+    """Whether a line begins like a heading, bold text, a link, a fence, a list item or a quotation."""
+    return _text(c).rlike(r"(?m)^(?:#{1,6}\s|\*\*.+\*\*|\[.+\]\(.+\)|```|\s*[-*+]\s|>)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -222,3 +223,85 @@ def matches_globs(c, include: list[str] = (), exclude: list[str] = ()) -> Column
     """Any include pattern (or none given), and no exclude pattern, on the URL or its path."""
     hit = lambda globs: F.lit(False) if not globs else _url(c).rlike("|".join(map(glob_to_regex, globs))) | path(c).rlike("|".join(map(glob_to_regex, globs)))
     return (hit(include) if include else F.lit(True)) & ~hit(exclude)
+
+
+FILE_EXTENSIONS = (
+    ".apk .avi .css .csv .dmg .doc .docx .exe .gif .gz .iso .jpeg .jpg .js .json .mov .mp3 .mp4 "
+    ".pdf .png .ppt .pptx .svg .tar .txt .webm .webp .xls .xlsx .xml .zip"
+).split()
+
+
+def is_file(c) -> Column:
+    return extension(c).isin(FILE_EXTENSIONS)
+
+
+def same_domain(a, b) -> Column:
+    """Whether both have the same registered domain, and one at all."""
+    return (base_domain(a) == base_domain(b)) & (base_domain(a) != "")
+
+
+def equal(a, b) -> Column:
+    """Whether two URLs are the same once normalized; nulls are equal to each other alone."""
+    return normalize(a).eqNullSafe(normalize(b))
+
+
+def matches_regex(c, pattern: str) -> Column:
+    return _url(c).rlike(pattern)
+
+
+def _arrow(f, *columns) -> Column:
+    """``f`` on the strings of Arrow batches, null as empty."""
+
+    @F.pandas_udf("string")
+    def run(*parts: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*parts, strict=True)], dtype=object)
+
+    return run(*[_url(c) for c in columns])
+
+
+def join(base, relative) -> Column:
+    """``relative`` resolved against ``base`` (RFC 3986); an absolute one stays."""
+    from urllib.parse import urljoin
+
+    def resolve(b: str, r: str) -> str:
+        try:
+            return urljoin(b, r)
+        except ValueError:  # such as an unclosed bracket in the host
+            return r
+
+    return _arrow(resolve, base, relative)
+
+
+def with_params(c, params: dict[str, str]) -> Column:
+    """With ``params`` set, in place of former values of the same names; the others stay, in order."""
+    from urllib.parse import parse_qs, urlencode, urlsplit
+
+    def put(u: str) -> str:
+        try:
+            p = urlsplit(u)
+            return p._replace(query=urlencode(parse_qs(p.query, keep_blank_values=True) | {k: [v] for k, v in params.items()}, doseq=True)).geturl()
+        except ValueError:
+            return u
+
+    return _arrow(put, c)
+
+
+def encode(c) -> Column:
+    """Percent-encoded path and query; escapes already there are encoded again."""
+    from urllib.parse import quote, urlsplit
+
+    def escape(u: str) -> str:
+        try:
+            p = urlsplit(u)
+            return p._replace(path=quote(p.path, safe="!$&'()*+,/:;=@"), query=quote(p.query, safe="&=")).geturl()
+        except ValueError:
+            return u
+
+    return _arrow(escape, c)
+
+
+def decode(c) -> Column:
+    """Percent escapes as UTF-8; bytes that are none become U+FFFD, a plus stays."""
+    from urllib.parse import unquote
+
+    return _arrow(unquote, c)

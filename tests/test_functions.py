@@ -51,11 +51,41 @@ def test_html_scalars(spark):
         assert one(spark, given, column) == want, (given, want)
 
 
+def test_entities_and_bytes(spark):
+    cases = [("&#72;&#101;&#x6C;&#108;&#111; &#x1F600; &#8217;", "Hello 😀 ’"), ("&amp;#72; &#38;lt; &#0; &#xD800;", "&#72; &lt; \ufffd \ufffd"), ("&nope; &", "&nope; &"), (None, "")]
+    for given, want in cases:
+        assert one(spark, given, html.decode_entities("v")) == want, given
+    raw = [(b"\xef\xbb\xbfx", "utf-8"), (b"\xff\xfex\x00", "utf-16"), (b'<meta charset="iso-8859-1">\xe9', "iso-8859-1"), (b"caf\xc3\xa9", "utf-8"), (None, "utf-8"), (b'<meta charset="odd">a', "odd")]
+    got = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(raw)], "i int, v binary").select("i", html.encoding("v").alias("e"), html.decode_bytes("v").alias("t")).orderBy("i").collect()
+    assert [r.e for r in got] == [e for _, e in raw]
+    assert got[2].t.endswith("é") and got[3].t == "café" and got[4].t == "" and got[5].t.endswith("a")
+    assert one(spark, "<p>one  two</p><script>x</script>", html.word_count("v")) == 2 and one(spark, "a   b", html.collapse_spaces("v")) == "a b"
+
+
+def test_more_urls(spark):
+    cases = [("https://example.com/docs", url.join(F.col("v"), F.lit("guide")), "https://example.com/guide"), ("https://example.com/a/b", url.join(F.col("v"), F.lit("../c")), "https://example.com/c")]
+    cases += [("https://e.com/p?a=1&q=x#f", url.with_params("v", {"q": "te st"}), "https://e.com/p?a=1&q=te+st#f"), ("https://e.com/a b?q=é", url.encode("v"), "https://e.com/a%20b?q=%C3%A9")]
+    cases += [("a%20b%C3%A9+%zz", url.decode("v"), "a bé+%zz"), ("https://docs.e.com", url.same_domain(F.col("v"), F.lit("http://e.com")), True), ("", url.same_domain(F.col("v"), F.lit("")), False), ("https://e.com/x.PDF", url.is_file("v"), True)]
+    cases += [("https://www.e.com/a/", url.equal(F.col("v"), F.lit("https://e.com/a")), True), (None, url.join(F.col("v"), F.lit("/x")), "/x"), ("http://[bad", url.join(F.col("v"), F.lit("y")), "y")]
+    for given, column, want in cases:
+        assert one(spark, given, column) == want, (given, want)
+
+
+def test_more_text(spark):
+    cases = [("ﬁle", text.normalize_unicode("v", "NFKC"), "file"), ("café résumé", text.remove_accents("v"), "cafe resume"), ("  a\n   b", text.dedent("v"), "a\n b"), ("aa bb cc", text.wrap("v", 5), "aa bb\ncc")]
+    cases += [("a b b", text.cosine("v", F.lit("b a")), 3 / 10**0.5), ("", text.cosine("v", F.lit("x")), 0.0), ("# T", text.looks_like_markdown("v"), True), ("plain", text.looks_like_markdown("v"), False), (" <div>", text.looks_like_html("v"), True), ("ftp://x", text.looks_like_url("v"), True), (None, text.wrap("v"), "")]
+    for given, column, want in cases:
+        got = one(spark, given, column)
+        assert got == pytest.approx(want) if isinstance(want, float) else got == want, (given, want)
+
+
 def test_hashes(spark):
     import hashlib
     import hmac
 
     assert one(spark, "x", hashing.hmac_sha256(F.col("v"), b"k")) == hmac.new(b"k", b"x", hashlib.sha256).hexdigest()
+    assert one(spark, "x", hashing.hmac_verify(F.col("v"), hashing.hmac_sha256(F.col("v"), b"k"), b"k")) and not one(spark, "x", hashing.hmac_verify(F.col("v"), F.lit(None), b"k"))
+    assert one(spark, " https://e.com/ ", hashing.hash_url(F.col("v"))) == hashlib.sha256(b"https://e.com").hexdigest()
     assert one(spark, "john@x.com", hashing.mask_email(F.col("v"))) == "j***n@x.com"
     assert one(spark, "sk-abcdefgh1234", hashing.mask_key(F.col("v"))) == "sk-...1234"
 

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import catalog
-from tessella.operators import chunks, graph, page, similarity
+from tessella.operators import chunks, graph, page, similarity, tidy
 from tessella.plans.pipeline import Pipeline, Registry, default_pipeline
 from tessella.sources import readers, writers
 from tessella.streaming import events as stream
@@ -9,26 +10,48 @@ from tessella.streaming import events as stream
 DUCK = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def test_queries_equal_their_sql(spark, sf):
+@pytest.fixture(scope="module")
+def duck(sf):
     import duckdb
 
     con = duckdb.connect()
     for t in DUCK:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return con
 
-    def plain(v):
-        if isinstance(v, float):
-            return round(v, 6)
-        return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
-
-    for name, sql in catalog.ORACLES.items():
-        df = catalog.QUERIES[name](spark, sf)
-        cols = sorted(df.columns)
-        got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-        rel = con.execute(sql)
-        names = [d[0] for d in rel.description]
-        want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
-        assert sorted(names) == cols and got == want, name
+
+def plain(v):
+    if isinstance(v, float):
+        return round(v, 6)
+    return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    df = catalog.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    rel = duck.execute(catalog.ORACLES[name])
+    names = [d[0] for d in rel.description]
+    want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
+    assert sorted(names) == cols and got == want
+
+
+def test_circuit_breaker(spark):
+    """Opens after five failures in a row, half opens a minute after the last, closes after two successes; nulls and ties have their place."""
+    calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 10.0, True), ("a", 6, 64.0, True), ("a", 7, 64.0, True), ("a", 8, 65.0, True), (None, 9, None, None), ("b", 10, 0.0, True)]
+    got = {r.call_id: (r.state, r.admitted) for r in tidy.circuit_breaker(spark.createDataFrame(calls, "key string, call_id long, ts double, ok boolean")).collect()}
+    assert got == {**{i: ("closed", True) for i in range(5)}, 5: ("open", False), 6: ("half_open", True), 7: ("half_open", True), 8: ("closed", True), 9: ("closed", True), 10: ("closed", True)}
+    assert tidy.circuit_breaker(spark.createDataFrame([], "key string, call_id long, ts double, ok boolean")).count() == 0
+
+
+def test_sections(spark):
+    cases = [("# A\n# B\ntext", "# B\ntext"), ("x\n# B\n# C", "x"), ("# only", ""), ("a\n\n# H\n\nbody\n# E\n\n", "a\n\n# H\n\nbody\n\n"), ("plain", "plain"), (None, "")]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, v string")
+    assert [r[1] for r in sorted(df.select("i", tidy.without_hollow_sections("v")).collect())] == [w for _, w in cases]
+    short = [("intro\n# A\none two\n## B\none two three four five six\n", "intro\n## B\none two three four five six\n"), ("# A\nx", ""), (None, "")]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(short)], "i int, v string")
+    assert [r[1] for r in sorted(df.select("i", tidy.without_short_sections("v")).collect())] == [w for _, w in short]
 
 
 def test_chunks_cover_text_within_size(spark):
