@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Training, hashing and tokenizing have no SQL; tests/llm/test_pipeline.py checks the stages by brute force.
+#: Training, hashing and tokenizing have no SQL; the tests of the stages' operators hold them against brute force.
 ORACLE_SQL = None
 
 
