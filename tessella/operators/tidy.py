@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.blocks import BOILERPLATE
+from tessella.operators.state import micros
 
 _HEADING = r"[ \t]*#{1,6}[ \t]+\S[^\n]*"
 #: Seconds that a cached answer of a kind stays good.
@@ -108,17 +109,22 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, recovery: float = 60.0,
     ``recovery`` seconds after the last failure, then it is half open. Half
     open: a failure opens it again, ``successes`` close it. A fold over the
     calls of one key, in time order and batch by batch, so a key of any length
-    takes bounded memory; null times come first and count as time 0.
+    takes bounded memory; null times come first and count as time 0. ``ts`` holds
+    seconds, or times with or without a zone, which are compared in microseconds.
     """
+    kind = calls.schema["ts"].dataType.typeName()
+    timed = kind in ("timestamp", "timestamp_ntz", "date")
+    time = F.unix_micros("ts") if kind == "timestamp" else micros("ts") if timed else F.col("ts").cast("double")
+    wait = recovery * 1_000_000 if timed else recovery
 
     def fold(batches):
-        key, state, bad, good, last = None, "closed", 0, 0, 0.0
+        key, state, bad, good, last = None, "closed", 0, 0, 0
         for pdf in batches:
             out = []
             for k, ts, ok in zip(pdf["key"], pdf["s"], pdf["ok"], strict=True):
                 if k != key:
-                    key, state, bad, good, last = k, "closed", 0, 0, 0.0
-                if state == "open" and ts - last >= recovery:
+                    key, state, bad, good, last = k, "closed", 0, 0, 0
+                if state == "open" and ts - last >= wait:
                     state, good = "half_open", 0
                 out.append((state, state != "open"))
                 if state == "open":
@@ -133,5 +139,5 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, recovery: float = 60.0,
                     bad = 0
             yield pd.DataFrame({"call_id": pdf["call_id"], "state": [s for s, _ in out], "admitted": [a for _, a in out]})
 
-    rows = calls.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "call_id", F.coalesce(F.col("ts").cast("double"), F.lit(0.0)).alias("s"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    rows = calls.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "call_id", F.coalesce(time, F.lit(0 if timed else 0.0)).alias("s"), F.coalesce("ok", F.lit(False)).alias("ok"))
     return rows.repartition("key").sortWithinPartitions("key", "s", "call_id").mapInPandas(fold, "call_id long, state string, admitted boolean")

@@ -45,6 +45,20 @@ def test_circuit_breaker(spark):
     assert tidy.circuit_breaker(spark.createDataFrame([], "key string, call_id long, ts double, ok boolean")).count() == 0
 
 
+def test_circuit_breaker_over_times(spark, sf):
+    """The query runs on the events' times, and times of either kind give what their seconds give, to the microsecond."""
+    calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 63.999999, True), ("a", 6, 64.0, True), ("b", 7, 0.0, True)]
+    df = spark.createDataFrame(calls, "key string, call_id long, ts double, ok boolean")
+    rows = lambda d: sorted(map(tuple, tidy.circuit_breaker(d).collect()))
+    want = rows(df)
+    assert want[5:7] == [(5, "open", False), (6, "half_open", True)]
+    zoned = df.withColumn("ts", F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long")))
+    assert rows(zoned) == want == rows(zoned.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    got = rows(events.select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").cast("double").alias("ts"), (F.col("event_id") % 3 != 0).alias("ok")))
+    assert sorted(map(tuple, catalog.QUERIES["circuit_breaker"](spark, sf).collect())) == got and len(got) == events.count()
+
+
 def test_sections(spark):
     cases = [("# A\n# B\ntext", "# B\ntext"), ("x\n# B\n# C", "x"), ("# only", ""), ("a\n\n# H\n\nbody\n# E\n\n", "a\n\n# H\n\nbody\n\n"), ("plain", "plain"), (None, "")]
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, v string")
