@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import staged
+from tessella.llm.common import forget, staged
 
 #: Bytes of an offset range, children of an inner node, and records of a file.
 RANGE_BYTES, FANOUT, FILE_RECORDS = 1 << 16, 16, 2048
@@ -57,7 +57,8 @@ def tree(leaf_rows: DataFrame, shape: tuple[int, int, int] | None = None) -> lis
     with their offsets; upper nodes hash FANOUT neighbours. File roots become
     the children of collection nodes (file null). Groups are bounded by the
     range and the fan-out. With one ``shape`` trees of replicas have the same
-    levels, whatever a replica lacks.
+    levels, whatever a replica lacks. Every level is a written table
+    (``staged_at``), so the plan of one does not hold those of all below it.
     """
     nodes, first, files = shape or _shape(leaf_rows)
 
@@ -66,7 +67,7 @@ def tree(leaf_rows: DataFrame, shape: tuple[int, int, int] | None = None) -> lis
         return df.groupBy(*keys).agg(F.sha2(joined, 256).alias("hash"))
 
     def above(level: DataFrame) -> DataFrame:
-        return fold(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / F.lit(FANOUT))), ["file", "node"], ["child"])
+        return staged(fold(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / F.lit(FANOUT))), ["file", "node"], ["child"]), "level")
 
     level = staged(fold(leaf_rows.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))), ["file", "node"], ["offset"]), "ranges")
     levels = [level]
@@ -80,7 +81,10 @@ def tree(leaf_rows: DataFrame, shape: tuple[int, int, int] | None = None) -> lis
         level = above(level)
         levels.append(level)
         files = -(-files // FANOUT)
-    return [x.select(F.lit(i).alias("level"), "file", "node", "hash") for i, x in enumerate(levels)]
+    out = [x.select(F.lit(i).alias("level"), "file", "node", "hash") for i, x in enumerate(levels)]
+    for x, level in zip(out, levels, strict=True):
+        x.staged_at = level.staged_at
+    return out
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -105,20 +109,24 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     # Nodes of the collection have no file; the lowest of its levels holds the files' roots.
     first, collection = shape[1], _levels(shape[0])
-    nodes = mismatches(a[-1], b[-1])
+    nodes = staged(mismatches(a[-1], b[-1]), "nodes", spark)
+    used = [left, right, *a, *b, nodes]
     for i in range(len(a) - 2, -1, -1):
         if i + 1 == collection:
             within, parent = nodes.select((F.col("node") + F.lit(first)).alias("file"), F.lit(0).cast("long").alias("parent")), F.lit(0).cast("long")
         else:
             within, parent = nodes.select("file", F.col("node").alias("parent")), F.floor(F.col("node") / F.lit(FANOUT))
         below = [t.withColumn("file", F.coalesce("file", F.lit(_NO_FILE))).withColumn("parent", parent).join(within, ["file", "parent"], "left_semi").drop("parent") for t in (a[i], b[i])]
-        nodes = mismatches(*below)
+        nodes = staged(mismatches(*below), "nodes", spark)
+        used.append(nodes)
     keys = nodes.distinct()
     x, y = (t.withColumn("node", F.floor(F.col("offset") / F.lit(RANGE_BYTES))).join(keys, ["file", "node"], "left_semi").drop("node") for t in (left, right))
     same = Window.partitionBy("file", "id", "hash").orderBy("offset")
     x, y = (t.withColumn("nth", F.row_number().over(same)) for t in (x, y))
     y = y.select("file", "id", "hash", "nth", F.col("offset").alias("o2"), F.col("size").alias("s2"))
     alone = staged(x.join(y, ["file", "id", "hash", "nth"], "full").where("size is null or s2 is null"), "alone", spark)
+    for t in used:
+        forget(t)
     turn = Window.partitionBy("file", "id").orderBy("hash", "nth")
     lacking, extra = alone.where("s2 is null").withColumn("turn", F.row_number().over(turn)), alone.where("size is null").withColumn("turn", F.row_number().over(turn))
     lacking = lacking.select("file", "id", "turn", F.col("hash").alias("expected"), "offset", "size")

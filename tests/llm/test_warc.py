@@ -50,3 +50,15 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.url, r.body) for r in got if r.whole) == sorted((u or "", h or "") for _, u, h in rows[:3])
     assert {r.record for r in got if r.whole} == {r.record for r in records.collect()[:3]}
     assert sum(not r.whole for r in got) == 2  # the two parts of the last
+
+
+def test_no_plan_holds_the_levels_below(spark):
+    """Levels are read from written tables, and the result reads one table."""
+    rows = [(i, f"http://x/{i}", "body " * 2000) for i in range(0, 40 * 2048, 97)]
+    tree = warc.tree(leaf(pages(spark, rows)))
+    assert len(tree) >= 5
+    assert all("Exchange" not in level._jdf.queryExecution().executedPlan().toString() for level in tree)
+    bad = [(i, u, "x" + h if i == 97 else h) for i, u, h in rows]
+    out = warc.audit(leaf(pages(spark, rows)), leaf(pages(spark, bad)))
+    assert [r.id for r in out.collect()] == [97]
+    assert len({f.rsplit("/", 2)[-2] for f in out.inputFiles()}) <= 1
