@@ -1,6 +1,9 @@
 import math
+import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tessella.llm import lines, queries
 
@@ -122,3 +125,33 @@ def test_query_and_pipeline_compare_short_lines_and_scripts_without_spaces(spark
     assert {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in out if not r.kept} == {(2, 0): (1, 0), (2, 1): (1, 1)}
     left = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(map(tuple, left.collect())) == [docs[0], (2, "\nsecond"), docs[2], docs[3]]
+
+
+def test_lines_of_many_short_words_are_linked(spark):
+    """Changes that spare most shingles but touch many words lose no link; each pair has random words of its own."""
+    rng = random.Random(5)
+    texts, pairs = [], 0
+    while pairs < 400:
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(rng.randrange(8, 120))]
+        line = " ".join(words)
+        near = list(line)
+        for i in range(rng.randrange(25), len(line), 45):
+            near[i] = rng.choice("0123456789")
+        a, b = shingles(line), shingles("".join(near))
+        if line != "".join(near) and 0.8 <= len(a & b) / len(a | b) < 0.84:
+            texts += [line, "".join(near)]
+            pairs += 1
+    out = lines.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    lost = [r.doc_id for r in out if r.doc_id % 2 and r.class_doc != r.doc_id - 1]
+    assert lost == [] and len(out) == 800
+
+
+def test_alike_equals_sets():
+    """Exact on short lines, other scripts, characters of four bytes, repeated shingles and either side of the threshold."""
+    rng = random.Random(6)
+    xs = ["a", "aaaaaaa", "ab cd", "abcdefghi", "日本語のテキスト", "😀😀x😀y😀", "a" * 50 + "b", "x" * 3000]
+    xs += ["".join(rng.choice("ab 日é😀") for _ in range(rng.randrange(5, 60))).strip() or "z" for _ in range(300)]
+    ys = [x[: len(x) * 9 // 10] or "q" for x in xs[:150]] + [x + "tail" * rng.randrange(3) for x in xs[150:]]
+    xs, ys = ([t.strip(" ") or "z" for t in side] for side in (xs, ys))
+    want = [len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x, y in zip(xs, ys, strict=True)]
+    assert lines.alike(pa.array(xs, pa.large_string()), pa.array(ys, pa.large_string())).tolist() == want and 20 < sum(want) < 290
