@@ -33,6 +33,8 @@ MIN_TEXTS = 3
 #: Refits on telling windows, and the share of clean windows below their bar.
 REFITS, CLEAN_SHARE = 2, 0.998
 BATCH_BYTES = 1 << 20
+#: Windows of the sample that are scored at a time.
+SPAN = 1 << 12
 
 _U = np.uint64
 _SPACE = np.array([b <= 32 or chr(b) in ".,!?;:\"()[]{}|&%*#<>=+/\\" for b in range(256)])
@@ -114,7 +116,7 @@ class Model:
 def _fit(b: Bags, chosen: np.ndarray, y: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Adaptive gradient steps on cross entropy over the chosen windows, in place."""
     buckets, weights = b.buckets, b.weights
-    edge = np.concatenate(([0], np.cumsum(np.bincount(b.window, minlength=len(b.text)))))
+    edge = np.searchsorted(b.window, np.arange(len(b.text) + 1, dtype=np.uint32))
     seen = [np.full_like(vectors, 1e-6), np.full_like(softmax, 1e-6), np.full_like(bias, 1e-6)]
     for _ in range(epochs):
         for i in range(0, len(chosen), BATCH):
@@ -166,15 +168,23 @@ def train(texts: list[str], labels: list[int]) -> Model:
     # N-grams of one or two texts tell those texts apart and nothing else; they keep no weight.
     known = counts >= MIN_TEXTS
     parts = [(k[known[k]], w[known[k]], at[known[k]], text) for k, w, at, text in parts]
-    small = Bags(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    # The sample's n-grams are the bulk of the memory here: each column's parts go as it is joined.
+    columns = [list(x) for x in zip(*parts, strict=True)]
     del parts
+    small = Bags(*[np.concatenate(columns.pop(0)) for _ in range(4)])
     y, use = truth[small.text], np.arange(windows)
     vectors, softmax, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     _fit(small, rng.permutation(use), y, vectors, softmax, bias, EPOCHS[0], rng)
 
     def window_logits() -> np.ndarray:
         effect = vectors @ (softmax[1] - softmax[0])
-        return np.bincount(small.window, weights=effect[small.buckets] * small.weights, minlength=windows) + bias[1] - bias[0]
+        out = np.zeros(windows)
+        for i in range(0, windows, SPAN):
+            first, end = np.searchsorted(small.window, np.array([i, i + SPAN], dtype=np.uint32))
+            weights = effect[small.buckets[first:end]] * small.weights[first:end]
+            here = out[i : i + SPAN]
+            here += np.bincount(small.window[first:end] - np.uint32(i), weights=weights, minlength=len(here))
+        return out + bias[1] - bias[0]
 
     # The telling windows of toxic texts are those above what all but a few clean windows reach;
     # texts labelled toxic without such a window teach nothing further.

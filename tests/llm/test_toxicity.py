@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import pyarrow as pa
@@ -87,3 +88,19 @@ def test_windows_late_in_a_text_and_rare_words_are_learned():
     # Words only ever seen late in toxic texts, late in clean ones, and in a few texts all carry weight.
     for word in [*rude, *late, "vyxwuzt"]:
         assert (model.effect[toxicity.bags(pa.array([word])).buckets] != 0).all(), word
+
+
+def test_training_memory(monkeypatch):
+    """The sample's n-grams are not held twice over; small pieces and few epochs leave them the bulk of the peak."""
+    monkeypatch.setattr(toxicity, "EPOCHS", (1, 1))
+    monkeypatch.setattr(toxicity, "BATCH_BYTES", 1 << 16)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(160)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [i % 2 for i in range(160)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * sum(map(len, texts))
