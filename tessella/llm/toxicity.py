@@ -208,14 +208,20 @@ def is_held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on at most MAX_TEXTS labelled texts of each class that are not held out; the sample is fixed by the ids."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
+    ids = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in MAX_TEXTS.items()]
     # A repeated id counts once, by the least of its texts.
     first = docs.where("text is not null").select("doc_id", "text")
-    rows = []
-    for label, most in MAX_TEXTS.items():
-        ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += first.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    sample = first.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+        model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+        yield pa.RecordBatch.from_pylist([{"effect": model.effect.astype("<f8").tobytes(), "offset": model.offset}])
+
+    # The sample is bounded, so one task trains on it, in a worker's memory instead of the driver's.
+    rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "effect binary, offset double").collect()
+    return Model(np.frombuffer(rows[0].effect, dtype="<f8"), rows[0].offset) if rows else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

@@ -104,3 +104,14 @@ def test_training_memory(monkeypatch):
     finally:
         tracemalloc.stop()
     assert peak < 60 * sum(map(len, texts))
+
+
+def test_training_runs_outside_the_driver(spark, monkeypatch):
+    """The driver holds neither the sample's texts nor their n-grams; the model is that of training on the same rows here."""
+    docs = spark.createDataFrame([(i, f"calm words number {i} " * 9 + ("horrible " if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 2 as int) as toxic")
+    rows = [(r.text, r.doc_id % 2) for r in docs.orderBy("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    want = toxicity.train(*map(list, zip(*rows, strict=True)))
+    monkeypatch.setattr(toxicity, "bags", None)  # of the driver alone
+    got = toxicity.fit(docs, labels)
+    assert (got.effect == want.effect).all() and got.offset == want.offset
