@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import link, staged, worker_cache
+from tessella.llm.common import link, shared, staged, worker_cache
 from tessella.llm.textbytes import LETTERS, buffers, mix, word_hashes
 
 WORDS = 5
@@ -209,7 +209,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return verify
 
-    found = link(groups.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")), checker)
+    found = link(shared(groups.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))), checker)
     heads = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     out = signed.select("id", "h1", "h2").join(heads, ["h1", "h2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))

@@ -20,11 +20,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEPT: dict[int, np.ndarray] = {}
+#: Powers of a base are kept up to so many.
+_KEEP = 1 << 21
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers of ``base``; not to be written to."""
+    kept = _KEPT.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    out = np.full(max(n, min(2 * n, _KEEP)), base, dtype=np.uint64)
+    out[:1] = 1
+    out = np.multiply.accumulate(out)
+    if len(out) <= _KEEP:
+        out.flags.writeable = False
+        _KEPT[base] = out
+    return out[:n]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -155,3 +155,48 @@ def test_alike_equals_sets():
     xs, ys = ([t.strip(" ") or "z" for t in side] for side in (xs, ys))
     want = [len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x, y in zip(xs, ys, strict=True)]
     assert lines.alike(pa.array(xs, pa.large_string()), pa.array(ys, pa.large_string())).tolist() == want and 20 < sum(want) < 290
+
+
+def test_shingle_hashes_are_the_same_however_texts_are_mixed():
+    """A shingle's hash does not depend on the other characters of its text or batch."""
+    texts = ["abcdefgh", "abcdefgh é", "abc", "", "日本語のテキスト", "é abcdefgh", "x" * 5]
+    alone = [sorted(lines.shingle_hashes(pa.array([t], pa.large_string()))[0].tolist()) for t in texts]
+    for chosen in (range(len(texts)), (0, 6), (1, 2, 4)):
+        h, of = lines.shingle_hashes(pa.array([texts[i] for i in chosen], pa.large_string()))
+        assert [sorted(h[of == k].tolist()) for k in range(len(chosen))] == [alone[i] for i in chosen]
+    assert set(alone[0]) < set(alone[1]) and set(alone[0]) < set(alone[5])
+
+
+def test_packed_bands_share_as_pairs_do(monkeypatch):
+    """Members and firsts of every bucket with several ids, over many flushes and buckets larger than one; ids far apart and out of order."""
+    monkeypatch.setattr(lines, "FLUSH", 50)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(3, 9))) for _ in range(400)] + ["read more now"] * 120
+    ids = rng.sample([i + (i % 5 << 33) for i in range(1000)], len(texts))
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 70]), pa.array(texts[i : i + 70])], names=["id", "key"]) for i in range(0, len(texts), 70)]
+    blobs = sorted((r for b in lines._pack(iter(batches)) for r in b.to_pylist()), key=lambda r: r["part"])
+    packed = [pa.RecordBatch.from_pylist(blobs[i : i + 9], pa.schema([("part", pa.int32()), ("blob", pa.binary())])) for i in range(0, len(blobs), 9)]
+    buckets = defaultdict(set)
+    for key, i in zip(*(x.tolist() for x in lines.band_hashes(pa.array(texts, pa.large_string()))), strict=True):
+        buckets[key].add(ids[i])
+    want = sorted(sorted(b) for b in buckets.values() if len(b) > 1)
+    got, firsts = defaultdict(list), defaultdict(set)
+    for r in (r for b in lines._share(iter(packed)) for r in b.to_pylist()):
+        got[r["bucket"]].append(r["id"])
+        firsts[r["bucket"]].add(r["first"])
+    assert all(len(f) == 1 for f in firsts.values())
+    assert sorted(sorted([*members, *firsts[b]]) for b, members in got.items()) == want
+
+
+def test_unlike_sizes_and_outlines_are_not_fetched(spark):
+    """The filter ahead of the texts loses no pair that is alike, and its numbers are those of the sets."""
+    rng = random.Random(8)
+    xs = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(5, 400))).strip() for _ in range(150)]
+    xs += [x[: len(x) * 19 // 20] for x in xs] + [x[len(x) // 2 :] for x in xs] + ["z" * 5000, "ab" * 2000]
+    rows = list(enumerate(dict.fromkeys(x.strip() for x in xs if x.strip())))
+    out = next(lines._outline(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([x for _, x in rows])], names=["id", "key"])])))
+    assert out.column("n").to_pylist() == [len(shingles(x)) for _, x in rows]
+    texts = spark.createDataFrame(out.to_pandas())
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "a long, b long")
+    got = {tuple(r) for r in lines._checker(texts)(pairs).collect()}
+    assert got == set(links([shingles(x) for _, x in rows])) and len(got) > 50
