@@ -25,16 +25,18 @@ from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, m
 
 #: Similarity as a fraction: alike if both / either >= 4 / 5, that is 9 * both >= 4 * (sizes of the two).
 SHINGLE, SIMILAR = 5, (4, 9)
-#: Bands of lines with (from, below) so many distinct shingles: hashes in a band, and whether bands are all runs of so many
-#: neighbours or those beside the POINTS. Ranges overlap so that two lines alike (sizes within 4/5) always share one.
+#: Bands of lines with (from, below) so many distinct shingles: hashes in a band, and beside how many evenly spaced points they lie, or 0:
+#: all runs of so many neighbours. Ranges overlap so that two lines alike (sizes within 4/5) always share one.
 #: Of u hashes of either line at most u/5 are not common, so the common ones have a run of 2 (u = 5), 3 (u >= 6), 4 (u >= 16): all runs
-#: lose nothing. A band beside a point agrees with probability 0.8**rows, so at 0.8 none of 32 does with probability 3e-6 (5 hashes).
-KINDS = ((1, 6, 2, True), (5, 25, 3, True), (20, 40, 4, True), (40, 100, 4, False), (80, 1 << 62, 5, False))
-POINTS = 32
+#: lose nothing. A band beside a point agrees with probability 0.8**rows, so at 0.8 none of 32 does with probability 3e-6 (5 hashes),
+#: nor of 42 (6 hashes). Bands of 6 are for lines in which 42 of them hardly overlap; unlike lines share far fewer of them.
+KINDS = ((1, 6, 2, 0), (5, 25, 3, 0), (20, 40, 4, 0), (40, 100, 4, 32), (80, 320, 5, 32), (256, 1 << 62, 6, 42))
+#: Points begin ranges of hashes; an outline counts hashes by range.
+RANGE_BITS, OUTLINE_BITS = 7, 5
 #: Texts are hashed in pieces of about so many bytes and at most so many texts (16 bits of a sort key number them).
 PIECE_BYTES, PIECE_TEXTS = 1 << 20, 1 << 15
 #: Bands are packed and sorted so many at a time, and named by so many bits in all: lines of buckets that share a name are checked like any.
-FLUSH, PART_BITS, LOW_BYTES = 1 << 21, 12, 5
+FLUSH, PART_BITS, LOW_BYTES = 1 << 20, 12, 5
 
 _U = np.uint64
 _STEP = 10**10
@@ -118,18 +120,18 @@ def band_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(n)))[:-1]
     # Sums over neighbours name their set.
     sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(mix(key & _U(2**48 - 1)), dtype=_U)))
-    cells = np.bincount((key >> _U(43)).astype(np.int64), minlength=len(texts) * POINTS)
-    beside = (np.cumsum(cells) - cells).reshape(-1, POINTS)
+    cells = np.bincount((key >> _U(48 - RANGE_BITS)).astype(np.int64), minlength=len(texts) << RANGE_BITS)
+    beside = (np.cumsum(cells) - cells).reshape(len(texts), -1)
     bands, owners = [], []
-    for least, below, rows, every in KINDS:
+    for least, below, rows, points in KINDS:
         mine = np.flatnonzero((n >= least) & (n < below))
         width = np.minimum(rows, n[mine])
-        if every:
+        if not points:
             count = n[mine] - width + 1
             row = np.repeat(np.arange(len(mine)), count)
             at = np.arange(len(row)) + np.repeat(first[mine] - (np.cumsum(count) - count), count)
         else:
-            at = np.minimum(beside[mine], (first[mine] + n[mine] - width)[:, None])
+            at = np.minimum(beside[mine][:, (np.arange(points) << RANGE_BITS) // points], (first[mine] + n[mine] - width)[:, None])
             new = np.concatenate((np.ones((len(mine), 1), dtype=bool), at[:, 1:] != at[:, :-1]), axis=1)
             row, at = np.nonzero(new)[0], at[new]
         bands.append(mix(sums[at + width[row]] - sums[at] + _U(rows * 0x632BE59BD9B4E019 % 2**64)))
@@ -276,19 +278,19 @@ def _check_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and how many (255 at most, a byte each) in every of POINTS ranges of their hashes."""
+    """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and how many (255 at most, a byte each) in each range of their hashes."""
     worker_cache("lines")
     for batch in batches:
         keys = batch.column("key")
         for at, end in _runs(_bytes(keys)):
             key = _sorted(*shingle_hashes(keys.slice(at, end - at)))
-            cells = np.bincount((key >> _U(43)).astype(np.int64), minlength=(end - at) * POINTS).reshape(-1, POINTS)
+            cells = np.bincount((key >> _U(48 - OUTLINE_BITS)).astype(np.int64), minlength=(end - at) << OUTLINE_BITS).reshape(end - at, -1)
             packed = np.minimum(cells, 255).astype(np.uint8).view("<i8")
             columns = [batch.column("id").slice(at, end - at), keys.slice(at, end - at), pa.array(cells.sum(1)), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", *_CELLS])
 
 
-_CELLS = [f"c{i}" for i in range(POINTS // 8)]
+_CELLS = [f"c{i}" for i in range((1 << OUTLINE_BITS) // 8)]
 
 
 def _checker(texts: DataFrame):

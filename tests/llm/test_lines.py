@@ -200,3 +200,24 @@ def test_unlike_sizes_and_outlines_are_not_fetched(spark):
     pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "a long, b long")
     got = {tuple(r) for r in lines._checker(texts)(pairs).collect()}
     assert got == set(links([shingles(x) for _, x in rows])) and len(got) > 50
+
+
+def test_long_lines_share_bands_if_alike_and_hardly_else():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts, pairs = [], 0
+    while pairs < 300:
+        line = " ".join(rng.choice(words) for _ in range(rng.randrange(50, 200)))
+        near = list(line)
+        for i in range(rng.randrange(25), len(line), 45):
+            near[i] = rng.choice("0123456789")
+        a, b = shingles(line), shingles("".join(near))
+        if 0.8 <= len(a & b) / len(a | b) < 0.84:
+            texts += [line, "".join(near)]
+            pairs += 1
+    buckets = defaultdict(set)
+    for key, i in zip(*(x.tolist() for x in lines.band_hashes(pa.array(texts, pa.large_string()))), strict=True):
+        buckets[key].add(i)
+    together = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    assert all((i, i + 1) in together for i in range(0, len(texts), 2))
+    assert len(together) - pairs < 10  # 22 where bands of 5 serve all lengths
