@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fenced, forget, link, staged, worker_cache
+from tessella.llm.common import fenced, forget, lean, link, staged, worker_cache
 from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, mix
 
 #: Similarity as a fraction: alike if both / either >= 4 / 5, that is 9 * both >= 4 * (sizes of the two).
@@ -139,6 +139,7 @@ def band_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(bands).view(np.int64), np.concatenate(owners)
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key) to (part, blob): the bands and ids of many lines, by the first PART_BITS of the band.
 
@@ -185,6 +186,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.view(_U)[:, 0], np.cumsum(step)
 
 
+@lean
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, blob) in order of part to (bucket, id, first): the ids of each bucket with several, but the one met first.
 
@@ -267,6 +269,7 @@ def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
     return out
 
 
+@lean
 def _check_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, x, y) to the pairs whose texts x and y are alike."""
     worker_cache("lines")
@@ -277,6 +280,7 @@ def _check_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, end - at).filter(chosen) for c in ("a", "b")], names=["a", "b"])
 
 
+@lean
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and how many (255 at most, a byte each) in each range of their hashes."""
     worker_cache("lines")

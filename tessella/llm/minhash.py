@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import link, shared, staged, worker_cache
+from tessella.llm.common import lean, link, shared, staged, worker_cache
 from tessella.llm.textbytes import LETTERS, buffers, mix, word_hashes
 
 WORDS = 5
@@ -142,6 +142,7 @@ def _names(slots: np.ndarray, doc: np.ndarray, n: int) -> list[pa.Array]:
     return out
 
 
+@lean
 def _sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, h1, h2, bands): the name of the shingle counts and the bands of the signature."""
     worker_cache("minhash")
@@ -154,6 +155,7 @@ def _sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_names(slots, doc, n), lists], names=["id", "h1", "h2", "bands"])
 
 
+@lean
 def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, h1, h2, slots), the slots packed as bytes."""
     for whole in batches:
@@ -165,6 +167,7 @@ def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_names(slots, doc, n), packed.cast(pa.binary())], names=["id", "h1", "h2", "slots"])
 
 
+@lean
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, x, y) to the pairs whose packed slots x and y are similar enough."""
     for batch in batches:

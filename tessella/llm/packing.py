@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessella.llm.common import lean
 from tessella.llm.tokenize import tokenizer
 
 SEQUENCE, SEGMENTS, END_ID = 1024, 512, 0
@@ -155,6 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     padding stays small unless most documents have fewer than two tokens.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(tokenizer_path)
         out: list[tuple] = []

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import lean
 from tessella.llm.idcoder import BLOCK_IDS, decode_block, encode_block
 from tessella.llm.tokenize import tokenizer
 
@@ -33,6 +34,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_
     documents; a task holds one segment of ids at a time.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, number = tokenizer(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4")
@@ -102,4 +104,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
         )
 
-    return segments.mapInArrow(lambda batches: _decode(batches, make), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return segments.mapInArrow(lean(lambda batches: _decode(batches, make)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import worker_cache
+from tessella.llm.common import lean, worker_cache
 from tessella.llm.textbytes import _BYTE_VALUES, _P, _P_INV, _powers, buffers, mix
 
 NGRAMS = (3, 4, 5)
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     first = docs.where("text is not null").select("doc_id", "text")
     sample = first.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("toxicity")
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
@@ -229,6 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     names = docs.columns
     effect, offset = model.effect.astype(np.float32), model.offset
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("toxicity")
         m = Model(effect, offset)
