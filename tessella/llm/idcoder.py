@@ -30,13 +30,16 @@ import numpy as np
 _U = np.uint64
 MAGIC = b"TIDC"
 #: Ids of a block, lanes at most, and ids of a lane at least.
-BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 19, 4096, 128
+BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 21, 16384, 128
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, crc32 of the ids, bytes of payload
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
 _ORDER0_BITS, _PROB_BITS = 22, 12
 _CONTEXTS = 1 << 18
 _PROB = 1 << _PROB_BITS
 _S0, _S1, _W = _U(_ORDER0_BITS), _U(_PROB_BITS), _U(48)
+#: Order-0 values at which decoding knows the id.
+_SPACE_BITS = 8
+_SPACED = np.arange(0, (1 << _ORDER0_BITS) + (1 << _SPACE_BITS), 1 << _SPACE_BITS)
 #: Logit in 1/256 of each probability in 1/4096, and back (index: logit + 2047).
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (_PROB - p - 0.5))))) for p in range(_PROB)], dtype=np.int64)
 SQUASH = np.array([max(1, min(_PROB - 1, int(_PROB / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
@@ -53,10 +56,9 @@ _APPLIES2, _APPLIES1 = _SURE2 > 0, (_SURE1 > 0) & (_SAME == 0)
 class _Model:
     def __init__(self, vocabulary: int):
         self.v = vocabulary
-        self.next1 = np.full(vocabulary + 1, -1, dtype=np.int64)
-        self.sure1 = np.zeros(vocabulary + 1, dtype=np.int64)
-        self.next2 = np.full(_CONTEXTS, -1, dtype=np.int64)
-        self.sure2 = np.zeros(_CONTEXTS, dtype=np.int64)
+        # By context, the guess (-1: none) times 8, and its confidence.
+        self.next1 = np.full(vocabulary + 1, -8, dtype=np.int64)
+        self.next2 = np.full(_CONTEXTS, -8, dtype=np.int64)
         self.counts = np.zeros(vocabulary, dtype=np.int64)
         self.recent: list[np.ndarray] = []
         self.rows = 0
@@ -70,16 +72,34 @@ class _Model:
         f[int(np.argmax(self.counts))] += (1 << _ORDER0_BITS) - int(f.sum())
         self.cum = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(f)))
         self.start, self.size = self.cum[:-1].astype(_U), f.astype(_U)
-        self.classes = np.searchsorted(_CLASS_BOUNDS, f, side="right") << 7
+        self.coarse = None
+        classes = np.searchsorted(_CLASS_BOUNDS, f, side="right")
+        self.classes2, self.classes1 = classes << 7, classes << 9
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id in whose order-0 range each value lies: by a table of evenly spaced values, and by search where several ids lie between two of them."""
+        if self.coarse is None:
+            self.coarse = np.searchsorted(self.cum, _SPACED, side="right") - 1
+        slot = value >> _SPACE_BITS
+        found = self.coarse.take(slot)
+        several = np.flatnonzero(found < self.coarse.take(slot + 1))
+        found[several] = np.searchsorted(self.cum, value[several], side="right") - 1
+        return found
 
     def look(self, p2: np.ndarray, p1: np.ndarray) -> None:
         """Guesses and situations of a row of lanes with the ids before, and the bounds of each outcome in every situation."""
         self.c2 = (p2 * 0x9E3779B1 + p1 * 0x85EBCA6B >> 7) & (_CONTEXTS - 1)
         self.c1 = p1
-        self.g2, self.s2 = self.next2[self.c2], self.sure2[self.c2]
-        self.g1, self.s1 = self.next1[p1], self.sure1[p1]
+        self.e2, self.e1 = self.next2.take(self.c2), self.next1.take(p1)
+        self.s2, self.s1 = self.e2 & 7, self.e1 & 7
+        self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
         # Where there is no guess its class is that of the last id, in coding and decoding alike.
-        self.at = self.s2 | self.s1 << 3 | (self.g1 == self.g2).astype(np.int64) << 6 | self.classes[self.g2] | self.classes[self.g1] << 2
+        at = self.s1 << 3
+        at |= self.s2
+        at |= (self.g1 == self.g2).astype(np.int64) << 6
+        at |= self.classes2.take(self.g2)
+        at |= self.classes1.take(self.g1)
+        self.at = at
         other = [np.where(_SAME == 1, STRETCH[self.right[1][_SURE1]], 0), np.where(_SURE2 > 0, STRETCH[self.right[0][_SURE2]], 0)]
         self.inputs, chances = [], []
         for k, (sel, applies, logit) in enumerate(((_SEL2, _APPLIES2, _CLASS_LOGIT[_CLASS2]), (_SEL1, _APPLIES1, _CLASS_LOGIT[_CLASS1]))):
@@ -91,12 +111,13 @@ class _Model:
         self.p = chances
         two = chances[0]
         one = np.where(_APPLIES1, np.maximum(1, np.minimum((_PROB - two) * chances[1] >> _PROB_BITS, _PROB - two - 1)), 0)
-        bounds = np.stack([np.zeros(_N, dtype=np.int64), two, two + one, np.full(_N, _PROB)])
-        self.bounds = bounds.astype(_U)
+        # At four times the situation plus the outcome, where the outcome begins and how wide it is.
+        self.begins = np.stack([np.zeros(_N, dtype=np.int64), two, two + one, np.full(_N, _PROB)], axis=1).astype(_U).reshape(-1)
+        self.widths = np.stack([two, one, _PROB - two - one, np.zeros(_N, dtype=np.int64)], axis=1).astype(_U).reshape(-1)
 
-    def learn(self, outcome: np.ndarray) -> None:
-        """From the outcome of every lane: 0, the order-2 guess is right; 1, the order-1 guess is; 2, neither."""
-        n3 = np.bincount(self.at * 3 + outcome, minlength=3 * _N).reshape(_N, 3)
+    def learn(self, where: np.ndarray) -> None:
+        """From four times the situation of every lane plus its outcome: 0, the order-2 guess is right; 1, the order-1 guess is; 2, neither."""
+        n3 = np.bincount(where, minlength=4 * _N).reshape(_N, 4)
         for k, (sel, applies) in enumerate(((_SEL2, _APPLIES2), (_SEL1, _APPLIES1))):
             n = np.where(applies, n3[:, k:].sum(1), 0)
             hits = np.where(applies, n3[:, k], 0)
@@ -112,11 +133,10 @@ class _Model:
                 self.weights[k][seen, i] += (step * rate) >> 14
 
     def update(self, ids: np.ndarray) -> None:
-        for table, sure, c, g, s in ((self.next2, self.sure2, self.c2, self.g2, self.s2), (self.next1, self.sure1, self.c1, self.g1, self.s1)):
-            right = g == ids
-            weak = s <= 1
-            table[c] = np.where(weak, ids, g)
-            sure[c] = np.where(right, np.minimum(s + 1, 7), np.where(weak, 1, s >> 1))
+        fresh = ids << 3 | 1
+        for table, c, e, g, sure in ((self.next2, self.c2, self.e2, self.g2, self.s2), (self.next1, self.c1, self.e1, self.g1, self.s1)):
+            # A guess that fails is halved in confidence, or gives way.
+            table[c] = np.where(g == ids, e + (sure < 7), np.where(sure <= 1, fresh, e - (sure + 1 >> 1)))
         self.recent.append(ids)
         self.rows += 1
         if self.rows & (self.rows - 1) == 0 or self.rows % 16 == 0:
@@ -207,19 +227,20 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         m = -(-(n - r) // rows)
         x = grid[r, :m]
         model.look(p2[:m], p1[:m])
-        outcome = np.where(model.g2 == x, 0, np.where(model.g1 == x, 1, 2))
+        outcome = (2 - (model.g1 == x).astype(np.int64)) * (model.g2 != x)
+        where = (model.at << 2) + outcome
         low, rng = coder.low[:m], coder.range[:m]
-        start = model.bounds[outcome, model.at]
         part = rng >> _S1
-        low += part * start
-        part *= model.bounds[outcome + 1, model.at] - start
+        low += part * model.begins.take(where)
+        part *= model.widths.take(where)
         miss = np.flatnonzero(outcome == 2)
         tail = part[miss] >> _S0
-        low[miss] += tail * model.start[x[miss]]
-        part[miss] = tail * model.size[x[miss]]
+        missed = x[miss]
+        low[miss] += tail * model.start.take(missed)
+        part[miss] = tail * model.size.take(missed)
         rng[:] = part
         coder.settle(m)
-        model.learn(outcome)
+        model.learn(where)
         model.update(x)
         p2, p1 = p1[:m], x
     lengths, payload = coder.finish()
@@ -246,22 +267,23 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
             low, rng = coder.low[:m], coder.range[:m]
             part = rng >> _S1
             value = np.minimum((coder.code[:m] - low) // part, _U(_PROB - 1))
-            outcome = (value >= model.bounds[1, model.at]).astype(np.int64) + (value >= model.bounds[2, model.at])
-            start = model.bounds[outcome, model.at]
-            low += part * start
-            part *= model.bounds[outcome + 1, model.at] - start
+            where = model.at << 2
+            outcome = (value >= model.begins.take(where + 1)).astype(np.int64) + (value >= model.begins.take(where + 2))
+            where += outcome
+            low += part * model.begins.take(where)
+            part *= model.widths.take(where)
             x = np.where(outcome == 0, model.g2, model.g1)
             miss = np.flatnonzero(outcome == 2)
             tail = part[miss] >> _S0
             value = np.minimum((coder.code[miss] - low[miss]) // tail, _U((1 << _ORDER0_BITS) - 1))
-            found = np.searchsorted(model.cum, value.astype(np.int64), side="right") - 1
+            found = model.find(value.astype(np.int64))
             x[miss] = found
-            low[miss] += tail * model.start[found]
-            part[miss] = tail * model.size[found]
+            low[miss] += tail * model.start.take(found)
+            part[miss] = tail * model.size.take(found)
             rng[:] = part
             coder.settle(m)
             grid[r, :m] = x
-            model.learn(outcome)
+            model.learn(where)
             model.update(x)
             p2, p1 = p1[:m], x
     except (IndexError, ZeroDivisionError) as e:

@@ -58,3 +58,20 @@ def test_empty(spark):
     path = f"file:///tmp/checkpoints/tessella/tokens-{uuid.uuid4().hex}"
     tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 49_408, end_id=2)
     assert tokenfile.read(spark, path).count() == 0
+
+
+def test_a_large_block_takes_few_steps(monkeypatch):
+    """Two million ids are coded in about 130 steps over all lanes (512 before), and come back whole; ids are found as a search finds them."""
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 1 << 21), 49_407).astype("<u4")
+    steps = []
+    look = idcoder._Model.look
+    monkeypatch.setattr(idcoder._Model, "look", lambda m, *a: steps.append(1) or look(m, *a))
+    blocks = [idcoder.encode_block(ids[i : i + idcoder.BLOCK_IDS], 49_408) for i in range(0, len(ids), idcoder.BLOCK_IDS)]
+    assert len(steps) < 150
+    assert (np.concatenate([idcoder.decode_block(b)[0] for b in blocks]) == ids).all()
+    model = idcoder._Model(49_408)
+    model.counts += np.bincount(ids[:70_000], minlength=49_408)
+    model._rebuild()
+    values = np.concatenate((rng.integers(0, 1 << 22, 20_000), [0, (1 << 22) - 1], model.cum[:-1], model.cum[1:] - 1))
+    assert (model.find(values) == np.searchsorted(model.cum, values, side="right") - 1).all()
