@@ -304,13 +304,15 @@ def _checker(texts: DataFrame):
     """
     least, of = SIMILAR
     apart = " + ".join(f"abs((shiftrightunsigned(a{c}, {8 * k}) & 255) - (shiftrightunsigned(b{c}, {8 * k}) & 255))" for c in _CELLS for k in range(8))
+    may_be = f"{of} * greatest(abs(an - bn), {apart}) <= {of - 2 * least} * (an + bn)"
     sides = [texts.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), *[F.col(c).alias(f"{x}{c}") for c in _CELLS]) for x in ("a", "b")]
 
     def check(pairs: DataFrame) -> DataFrame:
-        close = pairs.join(sides[0], "a").join(sides[1], "b").where(f"{of} * greatest(abs(an - bn), {apart}) <= {of - 2 * least} * (an + bn)").select("a", "b")
+        close = pairs.join(sides[0], "a").join(sides[1], "b").where(may_be).select("a", "b")
         joined = close.join(texts.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("key").alias("y")), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(_check_lines, "a long, b long")
 
+    check.traits, check.may_be = texts.select("id", "n", *_CELLS), may_be
     return check
 
 

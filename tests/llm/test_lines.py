@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 
 import corpus_pipeline
-from tessella.llm import lines, queries
+from tessella.llm import common, lines, queries
 
 
 def shingles(line):
@@ -221,3 +221,20 @@ def test_long_lines_share_bands_if_alike_and_hardly_else():
     together = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
     assert all((i, i + 1) in together for i in range(0, len(texts), 2))
     assert len(together) - pairs < 10  # 22 where bands of 5 serve all lengths
+
+
+def test_pairs_that_cannot_be_alike_are_dropped_in_their_bucket(spark):
+    """Of a bucket of unlike lines only pairs that may be alike leave it, and the link among them is found."""
+    members = common.staged(spark.createDataFrame([(5, i, 1) for i in range(2, 9)], "bucket long, id long, first long"), "members", spark)
+    seen = []
+
+    def checker(ids):
+        def verify(pairs):
+            seen.append({tuple(r) for r in pairs.select("a", "b").collect()})
+            return pairs.where("a = 7 and b = 8")
+
+        verify.traits, verify.may_be = spark.createDataFrame([(i, 10 * min(i, 7)) for i in range(1, 9)], "id long, n long"), "abs(an - bn) <= 1"
+        return verify
+
+    assert {tuple(r) for r in common.link(members, checker).collect()} == {(7, 7), (8, 7)}
+    assert seen[-1] == {(7, 8)}
