@@ -32,7 +32,8 @@ EPOCHS, BATCH, RATE = (3, 8), 1024, 0.5
 MIN_TEXTS = 3
 #: Refits on telling windows, and the share of clean windows below their bar.
 REFITS, CLEAN_SHARE = 2, 0.998
-BATCH_BYTES = 1 << 20
+#: Texts are cut into n-grams so many bytes at a time: in the making, those take some 200 bytes for each byte of text.
+BATCH_BYTES = 1 << 17
 #: Windows of the sample that are scored at a time.
 SPAN = 1 << 12
 
@@ -113,10 +114,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.logits(texts), -30, 30)))
 
 
-def _fit(b: Bags, chosen: np.ndarray, y: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+@dataclass
+class Sample:
+    """N-grams of the sample as training holds them: buckets with weights, and where those of each window begin and end."""
+
+    buckets: np.ndarray
+    weights: np.ndarray
+    edge: np.ndarray
+
+
+def _fit(b: Sample, chosen: np.ndarray, y: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Adaptive gradient steps on cross entropy over the chosen windows, in place."""
-    buckets, weights = b.buckets, b.weights
-    edge = np.searchsorted(b.window, np.arange(len(b.text) + 1, dtype=np.uint32))
+    buckets, weights, edge = b.buckets, b.weights, b.edge
     seen = [np.full_like(vectors, 1e-6), np.full_like(softmax, 1e-6), np.full_like(bias, 1e-6)]
     for _ in range(epochs):
         for i in range(0, len(chosen), BATCH):
@@ -157,22 +166,26 @@ def train(texts: list[str], labels: list[int]) -> Model:
         return Model(np.zeros(BUCKETS), -5.0)
     rng = np.random.default_rng(7)
     truth = np.asarray(labels)
-    parts, windows, counts = [], 0, np.zeros(BUCKETS, dtype=np.int64)
+    parts, text_of, counts = [], [], np.zeros(BUCKETS, dtype=np.int64)
     pieces = _pieces([len(t) for t in texts])
     for first, end in pieces:
         b = bags(pa.array(texts[first:end], pa.large_string()))
-        text = b.text + first
-        counts += np.bincount(np.unique(text[b.window] * BUCKETS + b.buckets) % BUCKETS, minlength=BUCKETS)
-        parts.append((b.buckets, b.weights, (b.window + windows).astype(np.uint32), text))
-        windows += len(text)
+        counts += np.bincount(np.unique(b.text[b.window] * BUCKETS + b.buckets) % BUCKETS, minlength=BUCKETS)
+        # The sample's n-grams are the bulk of the memory here, so windows are held by their sizes, not beside every n-gram.
+        parts.append((b.buckets, b.weights, np.bincount(b.window, minlength=len(b.text))))
+        text_of.append(b.text + first)
     # N-grams of one or two texts tell those texts apart and nothing else; they keep no weight.
     known = counts >= MIN_TEXTS
-    parts = [(k[known[k]], w[known[k]], at[known[k]], text) for k, w, at, text in parts]
-    # The sample's n-grams are the bulk of the memory here: each column's parts go as it is joined.
+    for i, (k, w, n) in enumerate(parts):
+        keep = known[k]
+        parts[i] = k[keep], w[keep], np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+    # Each column's parts go as it is joined.
     columns = [list(x) for x in zip(*parts, strict=True)]
-    del parts
-    small = Bags(*[np.concatenate(columns.pop(0)) for _ in range(4)])
-    y, use = truth[small.text], np.arange(windows)
+    del parts, b, k, w, n, keep
+    small = Sample(np.concatenate(columns.pop(0)), np.concatenate(columns.pop(0)), np.concatenate(([0], np.cumsum(np.concatenate(columns.pop(0))))))
+    y = truth[np.concatenate(text_of)]
+    windows = len(y)
+    use = np.arange(windows)
     vectors, softmax, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     _fit(small, rng.permutation(use), y, vectors, softmax, bias, EPOCHS[0], rng)
 
@@ -180,10 +193,10 @@ def train(texts: list[str], labels: list[int]) -> Model:
         effect = vectors @ (softmax[1] - softmax[0])
         out = np.zeros(windows)
         for i in range(0, windows, SPAN):
-            first, end = np.searchsorted(small.window, np.array([i, i + SPAN], dtype=np.uint32))
+            here, edge = out[i : i + SPAN], small.edge[i : i + SPAN + 1]
+            first, end = edge[0], edge[-1]
             weights = effect[small.buckets[first:end]] * small.weights[first:end]
-            here = out[i : i + SPAN]
-            here += np.bincount(small.window[first:end] - np.uint32(i), weights=weights, minlength=len(here))
+            here += np.bincount(np.repeat(np.arange(len(here)), np.diff(edge)), weights=weights, minlength=len(here))
         return out + bias[1] - bias[0]
 
     # The telling windows of toxic texts are those above what all but a few clean windows reach;

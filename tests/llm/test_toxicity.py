@@ -106,6 +106,21 @@ def test_training_memory(monkeypatch):
     assert peak < 60 * sum(map(len, texts))
 
 
+def test_training_takes_little_beside_the_sample(monkeypatch):
+    """As it is set, training on a sample of a megabyte stays below 50 MB: neither a batch in the making nor a window's name beside every n-gram adds much."""
+    monkeypatch.setattr(toxicity, "EPOCHS", (1, 1))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(1000)) for _ in range(160)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [i % 2 for i in range(160)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 << 20
+
+
 def test_training_runs_outside_the_driver(spark, monkeypatch):
     """The driver holds neither the sample's texts nor their n-grams; the model is that of training on the same rows here."""
     docs = spark.createDataFrame([(i, f"calm words number {i} " * 9 + ("horrible " if i % 2 else "")) for i in range(60)], "doc_id long, text string")
