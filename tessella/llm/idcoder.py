@@ -12,11 +12,13 @@ The confidences, whether the two guesses agree, and how frequent each guess is
 make up one of a fixed number of situations. For each of them, logistic
 mixtures of what all three orders say, with weights that learn, give the
 probabilities that the order-2 guess, the order-1 guess, or neither is right:
-the mixing is done once a row for all situations, and lanes look theirs up.
-Ids that neither predicts are coded with the order-0 frequencies. Both
-decisions drive a carry-less range coder with a 64-bit state per lane; totals
-are powers of two. The arithmetic is integral, so any machine decodes what
-another wrote.
+the mixing is done for all situations at once, in the first rows of a block and
+then every few, and lanes look theirs up. Ids that neither predicts are coded
+with the order-0 frequencies. Both decisions drive an asymmetric numeral system
+(rANS) with a 64-bit state per lane and one stream of 32-bit words for all
+lanes: the model runs forward, its choices are then coded from the last to the
+first, and decoding meets them in order. Totals are powers of two. The
+arithmetic is integral, so any machine decodes what another wrote.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ import zlib
 import numpy as np
 
 _U = np.uint64
-MAGIC = b"TIDC"
+MAGIC = b"TIDR"
 #: Ids of a block, lanes at most, and ids of a lane at least.
 BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 21, 16384, 128
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, crc32 of the ids, bytes of payload
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
+#: Rows that are each followed by mixing; later, every so many are.
+_EAGER_ROWS, _MIX_ROWS = 16, 4
 _ORDER0_BITS, _PROB_BITS = 22, 12
 _CONTEXTS = 1 << 18
 _PROB = 1 << _PROB_BITS
-_S0, _S1, _W = _U(_ORDER0_BITS), _U(_PROB_BITS), _U(48)
+#: States lie from _LEAST on, below 2**64, between steps.
+_LEAST, _WORD = _U(1 << 32), _U(32)
 #: Order-0 values at which decoding knows the id.
 _SPACE_BITS = 8
 _SPACED = np.arange(0, (1 << _ORDER0_BITS) + (1 << _SPACE_BITS), 1 << _SPACE_BITS)
@@ -64,6 +68,7 @@ class _Model:
         self.rows = 0
         self.right = [np.full(16, _PROB // 2, dtype=np.int64), np.full(16, _PROB // 2, dtype=np.int64)]
         self.weights = [np.full((16, 3), 1 << 14, dtype=np.int64), np.full((16, 3), 1 << 14, dtype=np.int64)]
+        self.met: list[np.ndarray] = []
         self._rebuild()
 
     def _rebuild(self) -> None:
@@ -71,7 +76,7 @@ class _Model:
         f = 1 + self.counts * ((1 << _ORDER0_BITS) - self.v) // total
         f[int(np.argmax(self.counts))] += (1 << _ORDER0_BITS) - int(f.sum())
         self.cum = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(f)))
-        self.start, self.size = self.cum[:-1].astype(_U), f.astype(_U)
+        self.start, self.size = self.cum[:-1].astype(np.uint32), f.astype(np.uint32)
         self.coarse = None
         classes = np.searchsorted(_CLASS_BOUNDS, f, side="right")
         self.classes2, self.classes1 = classes << 7, classes << 9
@@ -87,7 +92,10 @@ class _Model:
         return found
 
     def look(self, p2: np.ndarray, p1: np.ndarray) -> None:
-        """Guesses and situations of a row of lanes with the ids before, and the bounds of each outcome in every situation."""
+        """Guesses and situations of a row of lanes with the ids before."""
+        if self.rows < _EAGER_ROWS or self.rows % _MIX_ROWS == 0:
+            self.learn()
+            self.mix()
         self.c2 = (p2 * 0x9E3779B1 + p1 * 0x85EBCA6B >> 7) & (_CONTEXTS - 1)
         self.c1 = p1
         self.e2, self.e1 = self.next2.take(self.c2), self.next1.take(p1)
@@ -100,6 +108,9 @@ class _Model:
         at |= self.classes2.take(self.g2)
         at |= self.classes1.take(self.g1)
         self.at = at
+
+    def mix(self) -> None:
+        """The bounds of each outcome in every situation."""
         other = [np.where(_SAME == 1, STRETCH[self.right[1][_SURE1]], 0), np.where(_SURE2 > 0, STRETCH[self.right[0][_SURE2]], 0)]
         self.inputs, chances = [], []
         for k, (sel, applies, logit) in enumerate(((_SEL2, _APPLIES2, _CLASS_LOGIT[_CLASS2]), (_SEL1, _APPLIES1, _CLASS_LOGIT[_CLASS1]))):
@@ -112,12 +123,15 @@ class _Model:
         two = chances[0]
         one = np.where(_APPLIES1, np.maximum(1, np.minimum((_PROB - two) * chances[1] >> _PROB_BITS, _PROB - two - 1)), 0)
         # At four times the situation plus the outcome, where the outcome begins and how wide it is.
-        self.begins = np.stack([np.zeros(_N, dtype=np.int64), two, two + one, np.full(_N, _PROB)], axis=1).astype(_U).reshape(-1)
-        self.widths = np.stack([two, one, _PROB - two - one, np.zeros(_N, dtype=np.int64)], axis=1).astype(_U).reshape(-1)
+        self.begins = np.stack([np.zeros(_N, dtype=np.int64), two, two + one, np.full(_N, _PROB)], axis=1).astype(np.uint16).reshape(-1)
+        self.widths = np.stack([two, one, _PROB - two - one, np.zeros(_N, dtype=np.int64)], axis=1).astype(np.uint16).reshape(-1)
 
-    def learn(self, where: np.ndarray) -> None:
-        """From four times the situation of every lane plus its outcome: 0, the order-2 guess is right; 1, the order-1 guess is; 2, neither."""
-        n3 = np.bincount(where, minlength=4 * _N).reshape(_N, 4)
+    def learn(self) -> None:
+        """From four times the situation of every lane plus its outcome, of the rows since mixing: 0, the order-2 guess is right; 1, the order-1 guess is; 2, neither."""
+        if not self.met:
+            return
+        n3 = sum(np.bincount(where, minlength=4 * _N) for where in self.met).reshape(_N, 4)
+        self.met = []
         for k, (sel, applies) in enumerate(((_SEL2, _APPLIES2), (_SEL1, _APPLIES1))):
             n = np.where(applies, n3[:, k:].sum(1), 0)
             hits = np.where(applies, n3[:, k], 0)
@@ -132,7 +146,8 @@ class _Model:
                 step = np.bincount(sel, weights=error * x, minlength=16).astype(np.int64)[seen] // m
                 self.weights[k][seen, i] += (step * rate) >> 14
 
-    def update(self, ids: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, where: np.ndarray) -> None:
+        self.met.append(where)
         fresh = ids << 3 | 1
         for table, c, e, g, sure in ((self.next2, self.c2, self.e2, self.g2, self.s2), (self.next1, self.c1, self.e1, self.g1, self.s1)):
             # A guess that fails is halved in confidence, or gives way.
@@ -145,69 +160,33 @@ class _Model:
             self._rebuild()
 
 
-def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Lanes whose leading 16 bits are decided, or whose range got short; ranges of the latter are cut in place."""
-    undecided = (low ^ (low + rng)) >= _TOP
-    go = np.flatnonzero(~undecided | (rng < _BOTTOM))
-    short = go[undecided[go]]
-    if len(short):
-        rng[short] = (_U(0) - low[short]) & (_BOTTOM - _U(1))
-    return go
-
-
-class _Writer:
-    def __init__(self, lanes: int, rows: int):
-        self.low = np.zeros(lanes, dtype=_U)
-        self.range = np.full(lanes, 2**64 - 1, dtype=_U)
-        self.out = np.zeros((lanes, 4 * rows + 16), dtype=np.uint16)
-        self.at = np.zeros(lanes, dtype=np.int64)
-
-    def settle(self, m: int) -> None:
-        low, rng = self.low[:m], self.range[:m]
-        go = _unsettled(low, rng)
-        while len(go):
-            a, b, at = low[go], rng[go], self.at[go]
-            self.out[go, at] = (a >> _W).astype(np.uint16)
-            self.at[go] = at + 1
-            a <<= _U(16)
-            b <<= _U(16)
-            more = _unsettled(a, b)
-            low[go], rng[go] = a, b
-            go = go[more]
-
-    def finish(self) -> tuple[np.ndarray, bytes]:
-        # Any number from low on that lies within the range will do, whatever follows its first 32 bits.
-        self.low += _U(2**32 - 1)
-        for _ in range(2):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> _W).astype(np.uint16)
-            self.at += 1
-            self.low <<= _U(16)
-        used = np.arange(self.out.shape[1]) < self.at[:, None]
-        return self.at.astype("<u4"), self.out[used].astype("<u2").tobytes()
+def _push(state: np.ndarray, begin: np.ndarray, width: np.ndarray, bits: int) -> np.ndarray:
+    """The states (changed in place) take up the range from ``begin``, so wide, of 2**bits; returns the words that leave them, in order of lanes."""
+    begin, width = begin.astype(_U), width.astype(_U)
+    full = np.flatnonzero(state > (width << _U(64 - bits)) - _U(1))  # none if the range is all there is
+    words = state[full].astype(np.uint32)
+    state[full] >>= _WORD
+    q = state // width
+    state += (q << _U(bits)) - q * width + begin
+    return words
 
 
-class _Reader:
-    def __init__(self, lengths: np.ndarray, words: np.ndarray):
-        self.words = np.concatenate((words, np.zeros(8, dtype=np.uint16))).astype(_U)
-        self.at = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))[:-1]
-        lanes = len(lengths)
-        self.low, self.range, self.code = np.zeros(lanes, dtype=_U), np.full(lanes, 2**64 - 1, dtype=_U), np.zeros(lanes, dtype=_U)
-        for _ in range(4):
-            self.code = (self.code << _U(16)) | self.words[self.at]
-            self.at += 1
+class _Words:
+    def __init__(self, words: np.ndarray):
+        self.words, self.at = words, 0
 
-    def settle(self, m: int) -> None:
-        low, rng, code = self.low[:m], self.range[:m], self.code[:m]
-        go = _unsettled(low, rng)
-        while len(go):
-            a, b, at = low[go], rng[go], self.at[go]
-            code[go] = (code[go] << _U(16)) | self.words[at]
-            self.at[go] = at + 1
-            a <<= _U(16)
-            b <<= _U(16)
-            more = _unsettled(a, b)
-            low[go], rng[go] = a, b
-            go = go[more]
+    def pop(self, state: np.ndarray, value: np.ndarray, begin: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """The states (changed in place) give up the range that holds their ``value``, and take words where they get small."""
+        state >>= _U(bits)
+        state *= width
+        state += value
+        state -= begin
+        small = np.flatnonzero(state < _LEAST)
+        end = self.at + len(small)
+        if end > len(self.words):
+            raise ValueError("token block is damaged")
+        state[small] = (state[small] << _WORD) | self.words[self.at : end]
+        self.at = end
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -221,7 +200,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.zeros(lanes * rows, dtype=np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, rows).T)
-    model, coder = _Model(vocabulary), _Writer(lanes, rows)
+    model, steps = _Model(vocabulary), []
     p2 = p1 = np.full(lanes, vocabulary, dtype=np.int64)
     for r in range(rows):
         m = -(-(n - r) // rows)
@@ -229,22 +208,19 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         model.look(p2[:m], p1[:m])
         outcome = (2 - (model.g1 == x).astype(np.int64)) * (model.g2 != x)
         where = (model.at << 2) + outcome
-        low, rng = coder.low[:m], coder.range[:m]
-        part = rng >> _S1
-        low += part * model.begins.take(where)
-        part *= model.widths.take(where)
         miss = np.flatnonzero(outcome == 2)
-        tail = part[miss] >> _S0
         missed = x[miss]
-        low[miss] += tail * model.start.take(missed)
-        part[miss] = tail * model.size.take(missed)
-        rng[:] = part
-        coder.settle(m)
-        model.learn(where)
-        model.update(x)
+        steps.append((m, model.begins.take(where), model.widths.take(where), miss.astype(np.uint32), model.start.take(missed), model.size.take(missed)))
+        model.update(x, where)
         p2, p1 = p1[:m], x
-    lengths, payload = coder.finish()
-    body = lengths.tobytes() + payload
+    state, words = np.full(lanes, _LEAST, dtype=_U), []
+    while steps:
+        m, begin, width, miss, start, size = steps.pop()
+        rest = state[miss]
+        words.append(_push(rest, start, size, _ORDER0_BITS))
+        state[miss] = rest
+        words.append(_push(state[:m], begin, width, _PROB_BITS))
+    body = state.astype("<u8").tobytes() + b"".join(w.astype("<u4").tobytes() for w in reversed(words))
     return _HEAD.pack(MAGIC, n, vocabulary, lanes, crc, len(body)) + body
 
 
@@ -254,41 +230,38 @@ def decode_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     at += _HEAD.size
     if magic != MAGIC or len(data) < at + size:
         raise ValueError("no token block here")
-    lengths = np.frombuffer(data, dtype="<u4", count=lanes, offset=at)
-    words = np.frombuffer(data, dtype="<u2", count=(size - 4 * lanes) // 2, offset=at + 4 * lanes)
+    if lanes < 1 or size < 8 * lanes or size % 4:
+        raise ValueError("token block is damaged")
+    state = np.frombuffer(data, dtype="<u8", count=lanes, offset=at).astype(_U)
+    words = _Words(np.frombuffer(data, dtype="<u4", count=(size - 8 * lanes) // 4, offset=at + 8 * lanes))
     rows = -(-n // lanes)
     grid = np.zeros((rows, lanes), dtype=np.int64)
-    model, coder = _Model(vocabulary), _Reader(lengths, words)
+    model = _Model(vocabulary)
     p2 = p1 = np.full(lanes, vocabulary, dtype=np.int64)
     try:
         for r in range(rows):
             m = -(-(n - r) // rows)
             model.look(p2[:m], p1[:m])
-            low, rng = coder.low[:m], coder.range[:m]
-            part = rng >> _S1
-            value = np.minimum((coder.code[:m] - low) // part, _U(_PROB - 1))
+            now = state[:m]
+            value = now & _U(_PROB - 1)
             where = model.at << 2
             outcome = (value >= model.begins.take(where + 1)).astype(np.int64) + (value >= model.begins.take(where + 2))
             where += outcome
-            low += part * model.begins.take(where)
-            part *= model.widths.take(where)
+            words.pop(now, value, model.begins.take(where), model.widths.take(where), _PROB_BITS)
             x = np.where(outcome == 0, model.g2, model.g1)
             miss = np.flatnonzero(outcome == 2)
-            tail = part[miss] >> _S0
-            value = np.minimum((coder.code[miss] - low[miss]) // tail, _U((1 << _ORDER0_BITS) - 1))
+            rest = now[miss]
+            value = rest & _U((1 << _ORDER0_BITS) - 1)
             found = model.find(value.astype(np.int64))
             x[miss] = found
-            low[miss] += tail * model.start.take(found)
-            part[miss] = tail * model.size.take(found)
-            rng[:] = part
-            coder.settle(m)
+            words.pop(rest, value, model.start.take(found), model.size.take(found), _ORDER0_BITS)
+            now[miss] = rest
             grid[r, :m] = x
-            model.learn(where)
-            model.update(x)
+            model.update(x, where)
             p2, p1 = p1[:m], x
-    except (IndexError, ZeroDivisionError) as e:
+    except IndexError as e:
         raise ValueError("token block is damaged") from e
     ids = grid.T.reshape(-1)[:n].astype("<u4")
-    if zlib.crc32(ids.tobytes()) != crc:
+    if words.at != len(words.words) or (state != _LEAST).any() or zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("token block fails its checksum")
     return ids, at + size

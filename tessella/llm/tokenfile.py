@@ -84,8 +84,11 @@ def _decode(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]
             yield make(row, np.concatenate(ids))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files; start counts the ids of all documents before."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files; start counts the ids of all documents before.
+
+    Without ``with_ids`` the ids are decoded and summed, but stay in the worker.
+    """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     # One row per file: as many as there were writing tasks.
     totals = sorted((r.file, r.n) for r in segments.groupBy("file").agg(F.sum("n_ids").alias("n")).collect())
@@ -98,10 +101,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         ends = np.cumsum(lengths)
         parts = [ids[e - n : e] for e, n in zip(ends, lengths, strict=True)]
         starts = bases[row["file"]] + row["start"] + ends - lengths
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), lists],
-            names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-        )
+        columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(lengths), "ids_crc32": pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())}
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_pydict(columns)
 
-    return segments.mapInArrow(lean(lambda batches: _decode(batches, make)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return segments.mapInArrow(lean(lambda batches: _decode(batches, make)), schema)

@@ -75,3 +75,35 @@ def test_a_large_block_takes_few_steps(monkeypatch):
     model._rebuild()
     values = np.concatenate((rng.integers(0, 1 << 22, 20_000), [0, (1 << 22) - 1], model.cum[:-1], model.cum[1:] - 1))
     assert (model.find(values) == np.searchsorted(model.cum, values, side="right") - 1).all()
+
+
+def test_coding_and_reading_do_no_needless_work(spark, sf, monkeypatch):
+    """Half a million ids are mixed for in few rows, into fewer bytes than mixing in every row took; damage is told; ids that nobody wants stay in the worker."""
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.zipf(1.3, 1 << 19), 49_407).astype("<u4")
+    ids[1 << 18 :] = ids[: 1 << 18]
+    mixed = []
+    mix = idcoder._Model.mix
+    monkeypatch.setattr(idcoder._Model, "mix", lambda m: mixed.append(1) or mix(m))
+    block = idcoder.encode_block(ids, 49_408)
+    assert len(mixed) < 50 and (idcoder.decode_block(block)[0] == ids).all()
+    for at in (30, len(block) // 2, len(block) - 3):
+        with pytest.raises(ValueError):
+            idcoder.decode_block(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
+    path = f"file:///tmp/checkpoints/tessella/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(spark.read.parquet(f"{sf}/documents.parquet").limit(50), path, PATH, 49_408, end_id=2, files=2)
+    bare, whole = tokenfile.read(spark, path, with_ids=False), tokenfile.read(spark, path)
+    assert sorted(bare.collect()) == sorted(whole.drop("ids").collect()) and bare.columns == whole.columns[:-1] and bare.count() == 50
+
+
+def test_words_of_every_character_cut_here_are_the_librarys():
+    """Each character of texts that are cut here, alone and inside words, gives the library's ids by way of its model."""
+    from tessella.llm import tokenize
+
+    signs = [chr(c) for c in range(0x2100) if tokenize._SAFE.fullmatch(chr(c))]
+    texts = ["".join(signs), *signs, *[f"ab{c}d e{c}{c} {c}x9" for c in signs]]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library, words = Tokenizer.from_file(path), WordTokenizer(path)
+        assert [x.tolist() for x in words.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert words.memory.held > 0
