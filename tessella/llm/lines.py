@@ -31,8 +31,8 @@ SHINGLE, SIMILAR = 5, (4, 9)
 #: lose nothing. A band beside a point agrees with probability 0.8**rows, so at 0.8 none of 32 does with probability 3e-6 (5 hashes),
 #: nor of 42 (6 hashes). Bands of 6 are for lines in which 42 of them hardly overlap; unlike lines share far fewer of them.
 KINDS = ((1, 6, 2, 0), (5, 25, 3, 0), (20, 40, 4, 0), (40, 100, 4, 32), (80, 320, 5, 32), (256, 1 << 62, 6, 42))
-#: Points begin ranges of hashes; an outline counts hashes by range.
-RANGE_BITS, OUTLINE_BITS = 7, 5
+#: Points begin ranges of hashes; an outline tells in which of 256 ranges an odd number of them lies, 64 ranges a column.
+RANGE_BITS, OUTLINE_BITS, COLUMN_BITS = 7, 8, 6
 #: Texts are hashed in pieces of about so many bytes and at most so many texts (16 bits of a sort key number them).
 PIECE_BYTES, PIECE_TEXTS = 1 << 20, 1 << 15
 #: Bands are packed and sorted so many at a time, and named by so many bits in all: lines of buckets that share a name are checked like any.
@@ -282,37 +282,45 @@ def _check_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and how many (255 at most, a byte each) in each range of their hashes."""
+    """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and a bit for each range of their hashes, set if an odd number lies there."""
     worker_cache("lines")
     for batch in batches:
         keys = batch.column("key")
         for at, end in _runs(_bytes(keys)):
             key = _sorted(*shingle_hashes(keys.slice(at, end - at)))
-            cells = np.bincount((key >> _U(48 - OUTLINE_BITS)).astype(np.int64), minlength=(end - at) << OUTLINE_BITS).reshape(end - at, -1)
-            packed = np.minimum(cells, 255).astype(np.uint8).view("<i8")
-            columns = [batch.column("id").slice(at, end - at), keys.slice(at, end - at), pa.array(cells.sum(1)), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]]
+            n = np.bincount((key >> _U(48)).astype(np.int64), minlength=end - at)
+            column = (key >> _U(48 - OUTLINE_BITS + COLUMN_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1]))[: len(key)])
+            odd = np.zeros((end - at) * len(_CELLS), dtype=_U)
+            if len(key):
+                odd[column[first]] = np.bitwise_xor.reduceat(_U(1) << (key >> _U(48 - OUTLINE_BITS) & _U((1 << COLUMN_BITS) - 1)), first)
+            odd = odd.view(np.int64).reshape(end - at, -1)
+            columns = [batch.column("id").slice(at, end - at), keys.slice(at, end - at), pa.array(n), *[pa.array(np.ascontiguousarray(c)) for c in odd.T]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", *_CELLS])
 
 
-_CELLS = [f"c{i}" for i in range((1 << OUTLINE_BITS) // 8)]
+_CELLS = [f"c{i}" for i in range(1 << OUTLINE_BITS - COLUMN_BITS)]
 
 
 def _checker(texts: DataFrame):
     """From pairs (a, b) of line ids, those that are alike; ``texts``: as :func:`_outline` gives them.
 
-    Pairs whose sizes, or counts by range, differ in more than a ninth of their sizes cannot be alike, so their texts stay where they are.
+    Lines differ in a shingle at least in each range of which one holds an odd number and the other an even one. Pairs whose sizes
+    differ in more than a ninth of their sum, or that differ in more ranges, cannot be alike, so their texts stay where they are.
     """
     least, of = SIMILAR
-    apart = " + ".join(f"abs((shiftrightunsigned(a{c}, {8 * k}) & 255) - (shiftrightunsigned(b{c}, {8 * k}) & 255))" for c in _CELLS for k in range(8))
+    apart = " + ".join(f"bit_count(a{c} ^ b{c})" for c in _CELLS)
     may_be = f"{of} * greatest(abs(an - bn), {apart}) <= {of - 2 * least} * (an + bn)"
     sides = [texts.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), *[F.col(c).alias(f"{x}{c}") for c in _CELLS]) for x in ("a", "b")]
 
-    def check(pairs: DataFrame) -> DataFrame:
-        close = pairs.join(sides[0], "a").join(sides[1], "b").where(may_be).select("a", "b")
+    def compare(close: DataFrame) -> DataFrame:
         joined = close.join(texts.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("key").alias("y")), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(_check_lines, "a long, b long")
 
-    check.traits, check.may_be = texts.select("id", "n", *_CELLS), may_be
+    def check(pairs: DataFrame) -> DataFrame:
+        return compare(pairs.join(sides[0], "a").join(sides[1], "b").where(may_be).select("a", "b"))
+
+    check.traits, check.may_be, check.sure = texts.select("id", "n", *_CELLS), may_be, compare
     return check
 
 

@@ -238,3 +238,27 @@ def test_pairs_that_cannot_be_alike_are_dropped_in_their_bucket(spark):
 
     assert {tuple(r) for r in common.link(members, checker).collect()} == {(7, 7), (8, 7)}
     assert seen[-1] == {(7, 8)}
+
+
+def test_outlines_tell_long_lines_apart(spark):
+    """Of pairs of long lines that share seven shingles of ten, outlines leave few to be fetched; texts are fetched by two joins beside that of the pairs here (four more where outlines are looked at again)."""
+    rng = random.Random(10)
+    rows, wanted = [], 0
+    while wanted < 200:
+        line = "".join(rng.choice("abcdefgh ") for _ in range(240)).strip()
+        near = list(line)
+        for i in range(rng.randrange(20), len(near), 26):
+            near[i] = "0"
+        a, b = shingles(line), shingles("".join(near))
+        if 0.6 <= len(a & b) / len(a | b) < 0.72:
+            rows += [(2 * wanted, line), (2 * wanted + 1, "".join(near))]
+            wanted += 1
+    out = next(lines._outline(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([x for _, x in rows])], names=["id", "key"])])))
+    texts = spark.createDataFrame(out.to_pandas())
+    check = lines._checker(texts)
+    of = [c for c in texts.columns if c not in ("id", "key")]
+    sides = [texts.select((texts.id / 2).cast("long").alias("pair"), texts.id.alias(x), *[texts[c].alias(f"{x}{c}") for c in of]) for x in ("a", "b")]
+    pairs = sides[0].join(sides[1], "pair").where("a < b")
+    assert pairs.count() == wanted and pairs.where(check.may_be).count() < 40
+    plan = check.sure(pairs.select("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3 and check.sure(pairs.select("a", "b")).count() == 0
