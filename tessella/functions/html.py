@@ -68,8 +68,13 @@ def extract_text(c) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def raw_title(c) -> Column:
+    """The title as written, references undecoded."""
+    return F.regexp_extract(_html(c), r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def title(c) -> Column:
-    return F.trim(decode_entities(F.regexp_extract(_html(c), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.trim(decode_entities(raw_title(c)))
 
 
 def clean(c) -> Column:

@@ -37,6 +37,17 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert sorted(names) == cols and got == want
 
 
+def test_html_scalars_of_odd_titles_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    titles = ['<title> token = &quot;1&quot; </title>', "<TITLE lang='x'>a &amp; b &amp;lt; &lt;c&gt; &#39;&#x41;\n</TITLE>", "<title>&amp;amp;</title><title>second</title>", "<title></title>", "no title &quot;"]
+    spark.createDataFrame(list(enumerate(titles)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(plain, map(tuple, catalog.QUERIES["html_scalars"](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(plain, con.execute(catalog.ORACLES["html_scalars"]).fetchall())) and got[0][1] == "token = &quot;1&quot;"
+
+
 def test_circuit_breaker(spark):
     """Opens after five failures in a row, half opens a minute after the last, closes after two successes; nulls and ties have their place."""
     calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 10.0, True), ("a", 6, 64.0, True), ("a", 7, 64.0, True), ("a", 8, 65.0, True), (None, 9, None, None), ("b", 10, 0.0, True)]
