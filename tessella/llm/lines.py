@@ -12,7 +12,8 @@ similarity, and distributed union-find keeps the first line of each component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ SHINGLE, SIMILAR = 5, (4, 9)
 KINDS = ((1, 6, 2, 0), (5, 25, 3, 0), (20, 40, 4, 0), (40, 100, 4, 32), (80, 320, 5, 32), (256, 1 << 62, 6, 42))
 #: Points begin ranges of hashes; an outline tells in which of 256 ranges an odd number of them lies, 64 ranges a column.
 RANGE_BITS, OUTLINE_BITS, COLUMN_BITS = 7, 8, 6
+#: The outline of a line of so many shingles tells nothing, as it ends at half its ranges; such lines have a wide one too, of as many ranges as shingles or more.
+WIDE = 1 << OUTLINE_BITS
+#: So many pairs at a time take along what they are compared by: pairs grow with the square of a group of lines, what they take to disk must not.
+SLICE = 1 << 21
 #: Texts are hashed in pieces of about so many bytes and at most so many texts (16 bits of a sort key number them).
 PIECE_BYTES, PIECE_TEXTS = 1 << 20, 1 << 15
 #: Bands are packed and sorted so many at a time, and named by so many bits in all: lines of buckets that share a name are checked like any.
@@ -282,7 +287,7 @@ def _check_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key) to (id, key, n, c0, ...): how many distinct shingles a line has, and a bit for each range of their hashes, set if an odd number lies there."""
+    """(id, key) to (id, key, n, wide, c0, ...): how many distinct shingles a line has, its wide outline if it has one, and a bit for each range of their hashes, set if an odd number lies there."""
     worker_cache("lines")
     for batch in batches:
         keys = batch.column("key")
@@ -295,32 +300,91 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(key):
                 odd[column[first]] = np.bitwise_xor.reduceat(_U(1) << (key >> _U(48 - OUTLINE_BITS) & _U((1 << COLUMN_BITS) - 1)), first)
             odd = odd.view(np.int64).reshape(end - at, -1)
-            columns = [batch.column("id").slice(at, end - at), keys.slice(at, end - at), pa.array(n), *[pa.array(np.ascontiguousarray(c)) for c in odd.T]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", *_CELLS])
+            columns = [batch.column("id").slice(at, end - at), keys.slice(at, end - at), pa.array(n), pa.array(_wide(key, n), pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in odd.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "wide", *_CELLS])
+
+
+def _wide(key: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities like an outline's, by the low bits of the hashes; empty for texts of fewer than WIDE shingles."""
+    end, low = np.cumsum(n), key & _U(2**32 - 1)
+    out = [b""] * len(n)
+    for i in np.flatnonzero(n >= WIDE).tolist():
+        ranges = 1 << int(n[i] - 1).bit_length()
+        odd = np.bincount((low[end[i] - n[i] : end[i]] & _U(ranges - 1)).astype(np.int64), minlength=ranges) & 1
+        out[i] = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return out
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many ranges the parities of two wide outlines differ; the wider is folded to the ranges of the other."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    bits, few = 8 * max(len(x), len(y)), 8 * min(len(x), len(y))
+    if len(x) < len(y):
+        a, b = b, a
+    while bits > few:
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
+@lean
+def _check_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n, x, y) to the pairs that can be alike by their wide outlines x and y; n: the sizes of the two."""
+    worker_cache("lines")
+    least, of = SIMILAR
+    for batch in batches:
+        sides = (batch.column(c).to_pylist() for c in ("n", "x", "y"))
+        chosen = pa.array([not x or not y or of * _apart(x, y) <= (of - 2 * least) * n for n, x, y in zip(*sides, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(chosen) for c in ("a", "b")], names=["a", "b"])
+
+
+def _sliced(pairs: DataFrame, step: Callable[[DataFrame], DataFrame], scratch: list[DataFrame]) -> DataFrame:
+    """``step`` of written pairs (a, b), SLICE at a time, each written before the next; what is written is added to ``scratch``.
+
+    As the pairs' number is known, few of them are sent to the texts, not the texts to them.
+    """
+    spark = pairs.sparkSession
+    pairs = staged(pairs.select("a", "b"), "pairs", spark)
+    many = max(1, -(-pairs.count() // SLICE))
+    parts = [staged(step(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(many)) == k) if many > 1 else pairs), "links", spark) for k in range(many)]
+    forget(pairs)
+    scratch.extend(parts)
+    return functools.reduce(DataFrame.union, parts)
 
 
 _CELLS = [f"c{i}" for i in range(1 << OUTLINE_BITS - COLUMN_BITS)]
 
 
-def _checker(texts: DataFrame):
-    """From pairs (a, b) of line ids, those that are alike; ``texts``: as :func:`_outline` gives them.
+def _checker(texts: DataFrame, scratch: list[DataFrame] | None = None):
+    """From pairs (a, b) of line ids, those that are alike; ``texts``: as :func:`_outline` gives them. Tables written are added to ``scratch``.
 
     Lines differ in a shingle at least in each range of which one holds an odd number and the other an even one. Pairs whose sizes
     differ in more than a ninth of their sum, or that differ in more ranges, cannot be alike, so their texts stay where they are.
+    Long lines are held to their wide outlines next, an eighth of a text's size.
     """
+    scratch = [] if scratch is None else scratch
     least, of = SIMILAR
     apart = " + ".join(f"bit_count(a{c} ^ b{c})" for c in _CELLS)
     may_be = f"{of} * greatest(abs(an - bn), {apart}) <= {of - 2 * least} * (an + bn)"
     sides = [texts.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), *[F.col(c).alias(f"{x}{c}") for c in _CELLS]) for x in ("a", "b")]
 
+    def beside(close: DataFrame, what: str) -> DataFrame:
+        x, y = (texts.select(F.col("id").alias(i), F.col("n").alias(f"{i}n"), F.col(what).alias(side)) for i, side in (("a", "x"), ("b", "y")))
+        return close.join(x, "a").join(y, "b")
+
+    def wide(close: DataFrame) -> DataFrame:
+        return beside(close, "wide").select("a", "b", (F.col("an") + F.col("bn")).alias("n"), "x", "y").mapInArrow(_check_wide, "a long, b long")
+
+    def whole(close: DataFrame) -> DataFrame:
+        return beside(close, "key").select("a", "b", "x", "y").mapInArrow(_check_lines, "a long, b long")
+
     def compare(close: DataFrame) -> DataFrame:
-        joined = close.join(texts.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("key").alias("y")), "b")
-        return joined.select("a", "b", "x", "y").mapInArrow(_check_lines, "a long, b long")
+        return _sliced(_sliced(close, wide, scratch), whole, scratch)
 
     def check(pairs: DataFrame) -> DataFrame:
         return compare(pairs.join(sides[0], "a").join(sides[1], "b").where(may_be).select("a", "b"))
 
-    check.traits, check.may_be, check.sure = texts.select("id", "n", *_CELLS), may_be, compare
+    check.traits, check.may_be, check.sure, check.many = texts.select("id", "n", *_CELLS), may_be, whole, compare
     return check
 
 
@@ -346,9 +410,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     kept_texts = []
 
     def checker(ids: DataFrame):
-        outlined = texts.join(ids, "id", "left_semi").mapInArrow(_outline, "id long, key string, n long, " + ", ".join(f"{c} long" for c in _CELLS))
+        outlined = texts.join(ids, "id", "left_semi").mapInArrow(_outline, "id long, key string, n long, wide binary, " + ", ".join(f"{c} long" for c in _CELLS))
         kept_texts.append(staged(outlined, "texts", spark))
-        return _checker(kept_texts[0])
+        return _checker(kept_texts[0], kept_texts)
 
     found = link(staged(sharing(texts), "members", spark), checker)
     for t in kept_texts:

@@ -262,3 +262,25 @@ def test_outlines_tell_long_lines_apart(spark):
     assert pairs.count() == wanted and pairs.where(check.may_be).count() < 40
     plan = check.sure(pairs.select("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 3 and check.sure(pairs.select("a", "b")).count() == 0
+
+
+def test_wide_outlines_tell_very_long_lines_apart(spark, monkeypatch):
+    """Lines of over 576 shingles pass the outlines of 256 ranges, however unlike; of such pairs few have their texts fetched, none alike is lost, and pairs are compared a few at a time."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(700, 1900))).strip()
+        near = list(line)
+        for i in range(rng.randrange(20), len(near), 22 if k % 2 else 60):
+            near[i] = "0"
+        rows += [(2 * k, line), (2 * k + 1, "".join(near))]
+    out = next(lines._outline(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([x for _, x in rows])], names=["id", "key"])])))
+    texts, text = spark.createDataFrame(out.to_pandas()), dict(rows)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(120)], "a long, b long")
+    want = {(2 * k, 2 * k + 1) for k in range(120) if 5 * len(shingles(text[2 * k]) & shingles(text[2 * k + 1])) >= 4 * len(shingles(text[2 * k]) | shingles(text[2 * k + 1]))}
+    written, fetched = common.staged, []
+    monkeypatch.setattr(lines, "staged", lambda df, label, spark=None: (lambda t: (fetched.append((label, t.count())), t)[1])(written(df, label, spark)))
+    monkeypatch.setattr(lines, "SLICE", 25)
+    assert {tuple(r) for r in lines._checker(texts)(pairs).collect()} == want and len(want) >= 60
+    met, near = [n for label, n in fetched if label == "pairs"]
+    assert met == 120 and near <= len(want) + 6 and len(fetched) == 2 + 5 + -(-near // 25)
