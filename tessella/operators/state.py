@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +35,41 @@ def sessions(events: DataFrame, gap: int = 1800) -> DataFrame:
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+#: Where a null time counts, as it did in pandas: after all others in order, and before them in value.
+_NEVER = -(2**63) // 1000
+
+
+def _folded(events: DataFrame, key: str, flag: str, step: Callable) -> DataFrame:
+    """(event_id, flag): ``step`` folds the events of each key in order of time, then event_id: from the state (None at first) and the microseconds to the next state and the flag.
+
+    Sorted rows pass batch by batch: a pandas group for each key takes a
+    millisecond however few its events, and holds all of them however many.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = batches, None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if last is batches or k != last:
+                    last, state = k, None
+                state, found = step(state, _NEVER if t is None else t)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(out, pa.bool_())], names=["event_id", flag])
+
+    rows = events.select(F.col(key).alias("key"), micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("t"), "event_id").mapInArrow(fold, f"event_id long, {flag} boolean")
+
+
 def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
     """(event_id, allowed) by a refilling bucket for every user, in order of time; an exact fold."""
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "event_id"])
-        level, last, out = capacity, None, []
-        for t in g["ts"].astype("int64") / 1e9:
-            level = capacity if last is None else min(capacity, level + (t - last) * per_second)
-            last = t
-            out.append(level >= 1)
-            level -= level >= 1
-        return pd.DataFrame({"event_id": g["event_id"], "allowed": out})
+    def step(bucket: tuple[float, float] | None, t: int) -> tuple[tuple[float, float], bool]:
+        now = t * 1000 / 1e9
+        level = capacity if bucket is None else min(capacity, bucket[0] + (now - bucket[1]) * per_second)
+        return (level - (level >= 1), now), level >= 1
 
-    return events.select("event_id", "ts", "user_id").groupBy("user_id").applyInPandas(fold, "event_id long, allowed boolean")
+    return _folded(events, "user_id", "allowed", step)
 
 
 def queue_order(items: DataFrame) -> DataFrame:
@@ -69,16 +90,11 @@ def cache_hits(requests: DataFrame, ttl: int) -> DataFrame:
     fold runs per key.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g, until, out = g.sort_values(["ts", "event_id"]), None, []
-        for t in g["ts"].astype("int64"):
-            hit = until is not None and t < until
-            if not hit:
-                until = t + ttl * 1_000_000_000
-            out.append(hit)
-        return pd.DataFrame({"event_id": g["event_id"], "hit": out})
+    def step(until: int | None, t: int) -> tuple[int, bool]:
+        hit = until is not None and t < until
+        return until if hit else t + ttl * 1_000_000, hit
 
-    return requests.select("event_id", "ts", "key").groupBy("key").applyInPandas(fold, "event_id long, hit boolean")
+    return _folded(requests, "key", "hit", step)
 
 
 def lru_keep(entries: DataFrame, size: int) -> DataFrame:

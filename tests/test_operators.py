@@ -48,6 +48,35 @@ def test_html_scalars_of_odd_titles_equal_their_sql(spark, tmp_path):
     assert got == sorted(map(plain, con.execute(catalog.ORACLES["html_scalars"]).fetchall())) and got[0][1] == "token = &quot;1&quot;"
 
 
+def test_caches_and_buckets_fold_sorted_rows(spark):
+    """Keys, null and long ones too, are folded as their rows pass: no group is made for a key; batches may end within one."""
+    import datetime as dt
+    import random
+
+    from tessella.operators import state
+
+    rng, day = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 19 == 0 else day + dt.timedelta(microseconds=rng.randrange(0, 4 * 10**11, 10**6)), rng.choice([None, 1, 2, 3])) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    hits, allowed = {}, {}
+    for user in (None, 1, 2, 3):
+        until, level, last = None, 3, None
+        for i, ts, _ in sorted((r for r in rows if r[2] == user), key=lambda r: (r[1] is None, r[1] or day, r[0])):
+            t = (ts - day).total_seconds() if ts else -1e13
+            hits[i] = until is not None and t < until
+            until = until if hits[i] else t + 86_400
+            level, last = 3 if last is None else min(3, level + (t - last) / 7200), t
+            allowed[i] = level >= 1
+            level -= level >= 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for df, want in ((state.cache_hits(events.withColumnRenamed("user_id", "key"), 86_400), hits), (state.token_bucket(events, 3, 1 / 7200), allowed)):
+            assert dict(map(tuple, df.collect())) == want
+            assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_circuit_breaker(spark):
     """Opens after five failures in a row, half opens a minute after the last, closes after two successes; nulls and ties have their place."""
     calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 10.0, True), ("a", 6, 64.0, True), ("a", 7, 64.0, True), ("a", 8, 65.0, True), (None, 9, None, None), ("b", 10, 0.0, True)]
