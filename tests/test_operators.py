@@ -77,6 +77,30 @@ def test_caches_and_buckets_fold_sorted_rows(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def odd_documents(spark, tmp_path):
+    """A loader and DuckDB over documents with repeated ids and lengths, no id, no text and no words."""
+    import duckdb
+
+    texts = ["bb aa bb cc dd", "dd cc ee ee aa", "aa bb aaa ccc aaa", "", None, "the a of", "ünï ünï 漢字 x y zz9 zz9 _q_"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, texts[4]), (5, texts[5]), (None, texts[6]), (7, " ".join(f"w{i * i % 37:03}" for i in range(400)))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    return con
+
+
+def test_tfidf_of_odd_documents_equals_its_sql(spark, tmp_path, monkeypatch):
+    """With terms sent to all tasks, or joined by shuffle; sent ones take one shuffle of documents, and no window over rows of terms."""
+    con = odd_documents(spark, tmp_path)
+    want = sorted(map(plain, con.execute(f"select term, weight from ({catalog.ORACLES['tfidf_vectors']}) where doc_id is null or doc_id <> 1").fetchall()))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(similarity, "MOST_SENT", most)
+        df = catalog.QUERIES["tfidf_vectors"](spark, str(tmp_path))
+        assert sorted(plain((r.term, r.weight)) for r in df.collect() if r.doc_id != 1) == want
+        assert df.where("doc_id = 1").count() == 5
+        assert ("Window" in df._jdf.queryExecution().optimizedPlan().toString()) == (not most)
+
+
 def test_circuit_breaker(spark):
     """Opens after five failures in a row, half opens a minute after the last, closes after two successes; nulls and ties have their place."""
     calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 10.0, True), ("a", 6, 64.0, True), ("a", 7, 64.0, True), ("a", 8, 65.0, True), (None, 9, None, None), ("b", 10, 0.0, True)]
