@@ -101,6 +101,18 @@ def test_tfidf_of_odd_documents_equals_its_sql(spark, tmp_path, monkeypatch):
         assert ("Window" in df._jdf.queryExecution().optimizedPlan().toString()) == (not most)
 
 
+def test_keywords_of_odd_documents_equal_their_sql(spark, tmp_path):
+    """One shuffle, of documents: no row for each word, no window."""
+    con = odd_documents(spark, tmp_path)
+    df = catalog.QUERIES["keywords_topn"](spark, str(tmp_path))
+    key = lambda r: repr((r[0], r[1]))
+    pick = "select doc_id, rank, term, tf from ({}) where doc_id is null or doc_id <> 1"
+    got = sorted((tuple(r) for r in df.select("doc_id", "rank", "term", "tf").collect() if r.doc_id != 1), key=key)
+    assert got == sorted(con.execute(pick.format(catalog.ORACLES["keywords_topn"])).fetchall(), key=key) and len(got) > 10
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
 def test_circuit_breaker(spark):
     """Opens after five failures in a row, half opens a minute after the last, closes after two successes; nulls and ties have their place."""
     calls = [("a", i, float(i), False) for i in range(5)] + [("a", 5, 10.0, True), ("a", 6, 64.0, True), ("a", 7, 64.0, True), ("a", 8, 65.0, True), (None, 9, None, None), ("b", 10, 0.0, True)]
